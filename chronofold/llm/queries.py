@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan
+from . import decontaminate, license_scan, media_jpeg
 from .common import table
 
 
+def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_jpeg.carry_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -20,6 +24,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_jpeg": op1_media_jpeg,
     "op4_decontaminate": op4_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
