@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, media_jpeg
+from . import decontaminate, lang_id, license_scan, media_jpeg
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.drop("fuzzy_spans")
@@ -26,5 +30,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_jpeg": op1_media_jpeg,
     "op4_decontaminate": op4_decontaminate,
+    "op8_lang_id": op8_lang_id,
     "op10_license_scan": op10_license_scan,
 }
