@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lang_id, license_scan, media_jpeg, packing
+from . import decontaminate, jaccard_join, lang_id, license_scan, media_jpeg, packing
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,6 +38,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_jpeg": op1_media_jpeg,
     "op4_decontaminate": op4_decontaminate,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_packing": op7_packing,
     "op8_lang_id": op8_lang_id,
     "op10_license_scan": op10_license_scan,
