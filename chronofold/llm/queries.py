@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, lang_id, license_scan, media_jpeg, packing
+from . import decontaminate, jaccard_join, lang_id, license_scan, media_jpeg, packing, suffix_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.carry_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -37,6 +41,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_jpeg": op1_media_jpeg,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_packing": op7_packing,
