@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, lang_id, license_scan, media_jpeg, packing, suffix_dedup, toxicity
+from . import decontaminate, jaccard_join, lang_id, license_scan, line_dedup, media_jpeg, packing, pii, suffix_dedup, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.carry_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.chronofold.pii.key", "change this key").encode()
+    return pii.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), key)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -38,6 +43,10 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.drop("fuzzy_spans")
@@ -45,11 +54,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_jpeg": op1_media_jpeg,
+    "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_lang_id": op8_lang_id,
+    "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
 }
