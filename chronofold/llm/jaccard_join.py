@@ -6,7 +6,7 @@ classes with the same prefix and size are one group, which posts its prefix toke
 share a token and have fitting sizes are candidate pairs; pairs are expanded to members and verified
 exactly on whole sets.
 
-Long posting lists never emit all their pairs. In each of a few rounds a list pairs every member with
+Posting lists of a few groups emit all their pairs; longer ones never do. In each of a few rounds a list pairs every member with
 one leader (another one each round) unless both are already connected; what is left are pairs across
 components, which are all checked. So no connection is lost and only pairs that can change a
 component are looked at. A parity sketch of 512 bits, whose distance never exceeds the sets'
@@ -32,6 +32,8 @@ from .graph import components
 BUCKETS = 1 << 16
 SKETCH = 8
 ROUNDS = 3
+#: Posting lists up to this length give all their pairs at once.
+SHORT = 8
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -57,6 +59,10 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
+def _digest(s: np.ndarray) -> list[int]:
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """How many sets have a token in each bucket, over all documents; BUCKETS numbers whatever the input."""
 
@@ -88,7 +94,7 @@ def _meta(docs: DataFrame, k: int, percent: int, frequency: np.ndarray) -> DataF
                 keep = n - (percent * n + 99) // 100 + 1 if n else 0
                 order = np.lexsort((s, freq[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]
                 prefix = s[order]
-                d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                d = _digest(s)
                 g = np.frombuffer(hashlib.blake2b(prefix.tobytes(), digest_size=8).digest(), np.int64)
                 where = (mix(s) >> np.uint64(55)).astype(np.int64)
                 odd = (np.bincount(where, minlength=64 * SKETCH) & 1).astype(np.uint8)
@@ -102,13 +108,18 @@ def _meta(docs: DataFrame, k: int, percent: int, frequency: np.ndarray) -> DataF
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, schema)
 
 
-def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
+def _whole_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of texts(doc_id, d1, d2, text) whose set has the digest asked for, each node once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = pa.array([s.view(np.int64) for s in _sets(batch, k)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([col(batch, "d1"), col(batch, "d2"), sets], ["d1", "d2", "tokens"])
+            asked = zip(col(batch, "d1").to_pylist(), col(batch, "d2").to_pylist())
+            sets = list(_sets(batch, k))
+            same = [tuple(_digest(s)) == d for s, d in zip(sets, asked)]
+            node = col(batch, "doc_id").filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([node, pa.array([s.view(np.int64) for s, ok in zip(sets, same) if ok], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return docs.mapInArrow(run, "d1 long, d2 long, tokens array<long>")
+    return texts.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
 def _fits(a: str, b: str, percent: int):
@@ -124,90 +135,96 @@ def cluster(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     full = meta.filter("n > 0")
 
     # Classes of equal sets, named by their smallest document; groups of classes by prefix and size.
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in sketch]))
-    groups = classes.groupBy("g", "n").agg(F.min("id").alias("leader"), F.count("*").alias("members"))
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("g").alias("g"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in sketch]))
+    groups = cut(classes.groupBy("g", "n").agg(F.min("node").alias("leader"), F.count("*").alias("members")))
     heads = full.select(F.col("doc_id").alias("leader"), "g", "n", "prefix").join(groups, ["leader", "g", "n"]).dropDuplicates(["leader", "g", "n"])
-    post = heads.select("leader", "g", "n", F.explode("prefix").alias("token"))
+    post = heads.select(F.explode("prefix").alias("token"), "leader", "n")
     lively = post.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    lists = cut(post.join(lively, "token").withColumn("level", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) ).cast("int")))
-
-    nodes = classes.withColumnRenamed("id", "node")
-    members = nodes.join(groups.filter("members > 1").select("g", "n", "leader"), ["g", "n"]).select("node", "leader", "g", "n")
-
-    # Whole sets only of classes that have a possible partner.
-    active = lists.select("g", "n").distinct().union(members.select("g", "n")).distinct()
-    wanted = classes.join(active, ["g", "n"], "left_semi").select(F.col("id").alias("doc_id"), "d1", "d2")
-    chosen = wanted.join(meta.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").distinct()
-    texts = docs.join(chosen, "doc_id").select("d1", "d2", "text")
-    sets = cut(_whole_sets(texts, k).dropDuplicates(["d1", "d2"]) if _repeats(meta) else _whole_sets(texts, k))
-    bodies = sets.join(classes.select("id", "d1", "d2"), ["d1", "d2"]).select(F.col("id").alias("node"), "tokens")
-    facts = nodes.select("node", "n", *sketch)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that meet the threshold."""
-        p = pairs.select("a", "b").distinct()
+    shared = post.join(lively, "token")
+    # Group postings expand to members; members of one group also meet in a list of their own.
+    crowd = groups.filter("members > 1")
+    members = classes.join(crowd.select("g", "n", "leader"), ["g", "n"]).select("leader", "node", "g", "n")
+    seats = shared.join(members.select("leader", "node"), "leader", "left").select("token", F.coalesce("node", "leader").alias("node"), "n")
+    seats = cut(seats.unionByName(members.select(F.col("g").alias("token"), "node", "n")))
+    sizes = seats.groupBy("token").agg(F.count("*").alias("c"))
+    facts = classes.select("node", "n", *sketch)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) whose sizes and sketches allow the threshold."""
+        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left = facts.select(*[F.col(c).alias(f"a_{c}") for c in facts.columns])
         right = facts.select(*[F.col(c).alias(f"b_{c}") for c in facts.columns])
-        p = p.join(left, p["a"] == left["a_node"]).join(right, F.col("b") == F.col("b_node")).filter(_fits("a_n", "b_n", percent))
+        p = p.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node")).filter(_fits("a_n", "b_n", percent))
         apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
         # |difference| <= (1 - t) / (1 + t) * (|a| + |b|) at similarity t
-        p = p.filter(apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b", "a_n", "b_n")
-        x, y = bodies.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), bodies.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-        both = p.join(x, "b").join(y, "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-        return both.filter((100 + percent) * F.col("common") >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+        return p.filter(apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b", "a_n", "b_n")
 
-    # Members of a group share its postings; each is paired with its group's leader by the rounds below.
-    where = lists.select("token", "level", "g", "n")
-    everyone = where.join(members.select("g", "n", "node"), ["g", "n"]).select("token", "level", "n", "node")
-    alone = lists.join(members.select("g", "n").distinct(), ["g", "n"], "left_anti").select("token", "level", "n", F.col("leader").alias("node"))
-    inner = members.select(F.col("g").alias("token"), F.lit(-1).alias("level"), "n", "node")
-    seats = cut(everyone.unionByName(alone).unionByName(inner))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that meet the threshold; only their documents' whole sets are made."""
+        p = cut(near(pairs))
+        wanted = cut(p.select(F.col("a").alias("node")).union(p.select("b")).distinct())
+        named = classes.join(wanted, "node", "left_semi").select(F.col("node").alias("doc_id"), "d1", "d2")
+        sets = cut(_whole_sets(docs.join(named, "doc_id").select("doc_id", "d1", "d2", "text"), k))
+        x, y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+        both = p.join(x, "b").join(y, "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+        out = cut(both.filter((100 + percent) * F.col("common") >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+        for used in (p, wanted, sets):
+            uncut(used)
+        return out
 
     edges: DataFrame | None = None
-    root = nodes.select("node", F.col("node").alias("root")).limit(0)
-
-    def seated() -> DataFrame:
-        return seats.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    root: DataFrame | None = None
 
     def merge(pairs: DataFrame) -> bool:
         """Add the pairs' links; whether there were any."""
         nonlocal edges, root
-        new = cut(linked(pairs))
+        new = linked(pairs)
         if not new.take(1):
-            uncut(new)
             return False
         edges = new if edges is None else edges.unionByName(new)
         root = components(edges)
         return True
 
+    # Short lists give all their pairs; their number is within SHORT times the list's length.
+    short = seats.join(sizes.filter(F.col("c") <= SHORT).select("token"), "token")
+    x, y = short.alias("x"), short.alias("y")
+    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & fits)
+    merge(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+    level = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
+    long = cut(seats.join(sizes.filter(F.col("c") > SHORT).select("token"), "token").withColumn("level", level))
+
+    def seated() -> DataFrame:
+        if root is None:
+            return long.withColumn("root", F.col("node"))
+        return long.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     for r in range(ROUNDS):
         here = seated()
-        lead = here.groupBy("token", "level").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("lead"), F.min_by("root", F.xxhash64("node", F.lit(r))).alias("lead_root"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        lead = lead.filter("lo <> hi" if r else "true").select("token", "level", "lead", "lead_root")
+        turn = F.xxhash64("node", F.lit(r))
+        lead = here.groupBy("token", "level").agg(F.min_by("node", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"))
         # A list's leader also meets the next smaller level, whose sizes may fit.
-        up = here.select("token", "node", "root", F.explode(F.when(F.col("level") < 0, F.array("level")).otherwise(F.array("level", F.col("level") + 1))).alias("level"))
-        pairs = up.join(lead, ["token", "level"]).filter("root <> lead_root and node <> lead")
-        if not merge(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))):
+        up = here.select("token", "node", "root", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+        pairs = up.join(lead, ["token", "level"]).filter("root <> lead_root")
+        if not merge(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b"))):
             break
 
     # What is left: pairs across components. One side is outside its list's largest component.
     here = cut(seated())
-    sizes = here.groupBy("token", "root").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("token").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).filter("roots > 1")
+    shares = here.groupBy("token", "root").agg(F.count("*").alias("c"))
+    major = cut(shares.groupBy("token").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).filter("roots > 1"))
     minor = here.join(major, "token").filter("root <> major").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
     rest = minor.join(here.join(major.select("token"), "token", "left_semi"), "token").filter("xr <> root").filter(_fits("xn", "n", percent))
-    merge(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
+    merge(rest.select(F.col("x").alias("a"), F.col("node").alias("b")))
 
-    named = classes.join(root, classes["id"] == root["node"], "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
+    named = classes.select("d1", "d2", F.col("node").alias("component_id"))
+    if root is not None:
+        named = classes.join(root, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
     out = meta.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id"))
 
 
-def _repeats(meta: DataFrame) -> bool:
-    """Whether any doc_id has several rows."""
-    return bool(meta.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").take(1))
-
-
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id."""
     groups = cluster(docs, k, percent)
