@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,13 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors cost no recomputation.
     drop: an earlier cut that nothing reads any more."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._cut_path = path
     if drop is not None:
         uncut(drop)
+    # Shuffles that led here stay on the executors' disks until the driver collects what refers to them.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -162,13 +162,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     """docs(doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): every byte covered by a
     window-byte string that also starts earlier (smaller doc_id, or same row, earlier start) is removed."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    groups = _entries(docs, window).groupBy("anchor", "run").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
-    firsts = cut(groups)
+    # Each pass is written before the next one starts, so that no two passes' shuffles are on disk together.
+    firsts = cut(_entries(docs, window).groupBy("anchor", "run").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place")))
     mixed = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     open_runs = cut(firsts.join(mixed, "anchor", "left_semi").select("doc_id", "place"))
+    del mixed
     places = open_runs.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    windows = _windows(docs.join(places, "doc_id").select("doc_id", "text", "places"), window)
-    singles = windows.groupBy("anchor", "digit").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
+    lone = lambda: _windows(docs.join(places, "doc_id").select("doc_id", "text", "places"), window).groupBy("anchor", "digit")
+    singles = cut(lone().agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place")).select("doc_id", "place"))
     # Everything a document needs to know, in one list: kind 0 first runs, 1 runs met by others, 2 single windows.
     tagged = [
         firsts.select("doc_id", (F.col("place") * 4).alias("mark")),
