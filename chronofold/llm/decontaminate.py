@@ -288,4 +288,5 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "acc -> concat(acc.out, substring(cast(text as binary), int(acc.at + 1)))), 'UTF-8')"
     )
     text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut_out)
-    return kept.select(*[F.col("_id").alias("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(c) for c in cols])
+    new = {"doc_id": F.col("_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])

@@ -226,7 +226,11 @@ def cluster(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id."""
-    groups = cluster(docs, k, percent)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """docs with one document of each component, the one with the smallest doc_id; of rows with one
+    doc_id one stays. Rows without doc_id all stay."""
+    groups = cut(cluster(docs, k, percent))
+    out = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    if groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").take(1):
+        first = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        out = first.unionByName(out.filter("doc_id is null"))
+    return out.select(*docs.columns)
