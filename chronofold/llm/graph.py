@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while edges.take(1):
         # The smaller end of an edge is the larger one's candidate; smaller ends keep themselves.
         hook = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        for _ in range(3):
+        for _ in range(2):
             over = hook.select(F.col("node").alias("up"), F.col("up").alias("over"))
             hook = hook.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"))
         hook = cut(hook)

@@ -9,8 +9,8 @@ exactly on whole sets.
 Posting lists of a few groups emit all their pairs; longer ones never do. In each of a few rounds a list pairs every member with
 one leader (another one each round) unless both are already connected; what is left are pairs across
 components, which are all checked. So no connection is lost and only pairs that can change a
-component are looked at. A parity sketch of 512 bits, whose distance never exceeds the sets'
-difference, discards pairs before whole sets meet.
+component are looked at. A parity sketch of at least one bit an element, whose distance never exceeds
+the sets' difference, discards pairs before whole sets meet.
 
 Null, empty and blank texts have empty sets and stay alone. Equal rows share their set; rows of one
 doc_id with different texts are connected through that id.
@@ -30,8 +30,9 @@ from .common import ascii_lower, byte_rows, col, cut, mix, nonspace_bytes, piece
 from .graph import components
 
 BUCKETS = 1 << 16
+#: Least size of a sketch in longs.
 SKETCH = 8
-ROUNDS = 3
+ROUNDS = 2
 #: Posting lists up to this length give all their pairs at once.
 SHORT = 8
 
@@ -81,30 +82,31 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _meta(docs: DataFrame, k: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """Per row: set size, set digest (two longs), prefix digest, prefix and parity sketch."""
+    """Per row: set size, set digest (two longs), prefix digest, prefix and parity sketch. Sketches have
+    SKETCH longs times a power of two, so that halves fold onto each other."""
     ranks = docs.sparkSession.sparkContext.broadcast(frequency)
-    names = ["doc_id", "n", "d1", "d2", "g", "prefix"] + [f"s{i}" for i in range(SKETCH)]
+    names = ["doc_id", "n", "d1", "d2", "g", "prefix", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = ranks.value
         for batch in pieces(batches, "text"):
-            rows, sketch = [], np.zeros((batch.num_rows, SKETCH), np.uint64)
-            for i, s in enumerate(_sets(batch, k)):
+            rows = []
+            for s in _sets(batch, k):
                 n = len(s)
                 keep = n - (percent * n + 99) // 100 + 1 if n else 0
                 order = np.lexsort((s, freq[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]
                 prefix = s[order]
                 d = _digest(s)
                 g = np.frombuffer(hashlib.blake2b(prefix.tobytes(), digest_size=8).digest(), np.int64)
-                where = (mix(s) >> np.uint64(55)).astype(np.int64)
-                odd = (np.bincount(where, minlength=64 * SKETCH) & 1).astype(np.uint8)
-                sketch[i] = np.packbits(odd).view(np.uint64)
-                rows.append((n, d[0], d[1], g[0], prefix.view(np.int64)))
+                bits = 64 * SKETCH << max(0, (n - 1).bit_length() - (64 * SKETCH).bit_length() + 1)
+                odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                rows.append((n, d[0], d[1], g[0], prefix.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
             c = list(zip(*rows))
-            arrays = [col(batch, "doc_id").cast(pa.int64()), pa.array(c[0], pa.int32()), *[pa.array(c[j], pa.int64()) for j in (1, 2, 3)], pa.array(c[4], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(sketch[:, j].view(np.int64)) for j in range(SKETCH)], names)
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), longs, longs]
+            yield pa.RecordBatch.from_arrays([col(batch, "doc_id").cast(pa.int64()), *map(pa.array, c, kinds)], names)
 
-    schema = "doc_id long, n int, d1 long, d2 long, g long, prefix array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+    schema = "doc_id long, n int, d1 long, d2 long, g long, prefix array<long>, sketch array<long>"
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, schema)
 
 
@@ -131,11 +133,10 @@ def cluster(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     100 * |intersection| >= percent * |union|."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     meta = cut(_meta(docs, k, percent, _frequencies(docs, k)))
-    sketch = [f"s{i}" for i in range(SKETCH)]
     full = meta.filter("n > 0")
 
     # Classes of equal sets, named by their smallest document; groups of classes by prefix and size.
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("g").alias("g"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in sketch]))
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("g").alias("g"), F.min("n").alias("n")))
     groups = cut(classes.groupBy("g", "n").agg(F.min("node").alias("leader"), F.count("*").alias("members")))
     heads = full.select(F.col("doc_id").alias("leader"), "g", "n", "prefix").join(groups, ["leader", "g", "n"]).dropDuplicates(["leader", "g", "n"])
     post = heads.select(F.explode("prefix").alias("token"), "leader", "n")
@@ -147,17 +148,19 @@ def cluster(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     seats = shared.join(members.select("leader", "node"), "leader", "left").select("token", F.coalesce("node", "leader").alias("node"), "n")
     seats = cut(seats.unionByName(members.select(F.col("g").alias("token"), "node", "n")))
     sizes = seats.groupBy("token").agg(F.count("*").alias("c"))
-    facts = classes.select("node", "n", *sketch)
-
     def near(pairs: DataFrame) -> DataFrame:
         """The distinct pairs (a, b) whose sizes and sketches allow the threshold."""
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = facts.select(*[F.col(c).alias(f"a_{c}") for c in facts.columns])
-        right = facts.select(*[F.col(c).alias(f"b_{c}") for c in facts.columns])
-        p = p.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node")).filter(_fits("a_n", "b_n", percent))
-        apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
+        p = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        some = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
+        named = classes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "d1", "d2")
+        facts = cut(full.join(named, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"))
+        side = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"))
+        p = p.join(side("a"), "a").join(side("b"), "b").filter(_fits("a_n", "b_n", percent))
+        folded = lambda x, y: F.expr(f"if(size({x}) > size({y}), zip_with(slice({x}, 1, int(size({x}) / 2)), slice({x}, int(size({x}) / 2) + 1, int(size({x}) / 2)), (u, v) -> u ^ v), {x})")
+        p = p.select("a", "b", "a_n", "b_n", folded("a_s", "b_s").alias("x"), folded("b_s", "a_s").alias("y"))
+        p = p.withColumn("apart", F.expr("aggregate(zip_with(x, y, (u, v) -> bit_count(u ^ v)), 0, (t, u) -> t + u)"))
         # |difference| <= (1 - t) / (1 + t) * (|a| + |b|) at similarity t
-        return p.filter(apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b", "a_n", "b_n")
+        return p.filter(F.col("apart") * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b", "a_n", "b_n")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that meet the threshold; only their documents' whole sets are made."""
