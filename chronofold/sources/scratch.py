@@ -17,8 +17,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Spark then deletes an execution's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written to a path and read back. Its shuffles leave the executors' disks with the write: nothing
+    reads them again."""
+    spark, schema = df.sparkSession, df.schema
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """df as a written table: later plans start from it, and lost executors cost no recomputation."""
-    schema, path = df.schema, f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return written(df, f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}")
