@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_dir, written
+
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _BLOCK = 1 << 18
@@ -23,30 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*[df[c] for c in cols]) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for cut lineage; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.chronofold.scratch", "")
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
-        spark.conf.set("spark.chronofold.scratch", where)
-    return where
-
-
 def cut(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors cost no recomputation.
     drop: an earlier cut that nothing reads any more."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    out = written(df, path)
     out._cut_path = path
     if drop is not None:
         uncut(drop)
-    # Shuffles that led here stay on the executors' disks until the driver collects what refers to them.
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
