@@ -9,8 +9,11 @@ as it is alone:
    entry, so the shuffle holds an entry for about every 35 bytes, not for every byte;
 2. second digit: the whole run of windows. Equal runs are equal windows; the first place stays, all
    other places are repeats, without another look;
-3. last digit: the single window, only in anchor groups that still hold different runs. Windows of one
-   run are told apart here, and equal groups are exactly the repeated windows.
+3. third digit: only in anchor groups that still hold different runs, runs split into chunks of up to
+   CHUNK windows at fixed distances from the anchor. The bytes that all windows of a chunk share are
+   its group; equal chunks of a group are equal windows;
+4. last digit: the single window, only in chunk groups that still hold different chunks, as a rule
+   beside an edit. Equal groups are exactly the repeated windows.
 
 Groups shrink before every shuffle: repeats inside a document never leave it, and partial aggregation
 leaves one entry for each group and task, so a passage that a third of all documents share costs one
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ from .common import _B, _BINV, _powers, byte_rows, col, cut, mix, pieces
 
 WINDOW = 100
 GRAM = 24
+#: Windows of a chunk.
+CHUNK = 8
 #: Suffixes handled at once.
 BLOCK = 1 << 18
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -53,8 +59,9 @@ def _hash(sums: np.ndarray, inverse: np.ndarray, s: np.ndarray, e: np.ndarray) -
     return mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
 
 
-def runs(text: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (start, number of windows, anchor digit, run digit), in order, that cover all windows of a text."""
+def runs(text: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (start, number of windows, anchor's distance, anchor digit, run digit), in order, that cover all
+    windows of a text."""
     n = len(text) - window + 1
     for lo in range(0, n, BLOCK):
         hi = min(n, lo + BLOCK)
@@ -76,7 +83,7 @@ def runs(text: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[t
         new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(new, hi - lo))
         whole = _hash(sums, inverse, new, new + count + window - 1)
-        yield new + lo, count, g[anchor[new]], mix(whole ^ _SALT)
+        yield new + lo, count, anchor[new] - new, g[anchor[new]], mix(whole ^ _SALT)
 
 
 def _firsts_in(keys: list[np.ndarray]) -> np.ndarray:
@@ -90,69 +97,80 @@ def _firsts_in(keys: list[np.ndarray]) -> np.ndarray:
     return np.sort(order[new])
 
 
-def _entries(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, run, doc_id, place, n): the runs of each row, the first of equal ones."""
+def _place(start: np.ndarray, count: np.ndarray, distance: np.ndarray | int = 0) -> np.ndarray:
+    """Neighbouring windows in one number: the first one's start, how many, and their anchor's distance from it."""
+    return start << 16 | count << 8 | distance
+
+
+def _levels(docs: DataFrame, schema: str, entries) -> DataFrame:
+    """(group, digit, doc_id, place) of each row by entries(text, row) -> (group, digit, place), the first of equal
+    ones in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 21):
             body, at = byte_rows(col(batch, "text"))
+            asked = col(batch, "places") if "places" in batch.schema.names else [None] * batch.num_rows
             out = []
-            for k, doc in enumerate(col(batch, "doc_id").to_pylist()):
-                text = body[at[k] : at[k + 1]]
-                if len(text) < window or doc is None:
+            for k, (doc, places) in enumerate(zip(col(batch, "doc_id").to_pylist(), asked)):
+                if doc is None:
                     continue
-                s, c, a, r = (np.concatenate(x) for x in zip(*runs(text, window)))
-                keep = _firsts_in([a, r])
-                out.append((a[keep], r[keep], np.full(len(keep), doc), s[keep] << 8 | c[keep]))
+                for group, digit, place in entries(body[at[k] : at[k + 1]], places):
+                    out.append((group, digit, np.full(len(group), doc), place))
             if out:
-                a, r, d, p = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(r.view(np.int64)), pa.array(d.astype(np.int64)), pa.array(p)], ["anchor", "run", "doc_id", "place"])
+                g, x, d, p = (np.concatenate(x) for x in zip(*out))
+                keep = _firsts_in([d.astype(np.uint64), g, x])
+                yield pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), pa.array(x[keep].view(np.int64)), pa.array(d[keep].astype(np.int64)), pa.array(p[keep])], ["group", "digit", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "anchor long, run long, doc_id long, place long")
+    return docs.mapInArrow(run, schema)
 
 
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """texts(doc_id, text, places) to (anchor, digit, doc_id, place): single windows of the given runs."""
+def _split(places: pa.ListScalar, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """A row's places in order, in blocks: (first byte, end, starts, counts, distances)."""
+    wanted = np.sort(places.values.to_numpy())
+    s, c, d = wanted >> 16, wanted >> 8 & 255, wanted & 255
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(s, s[i] + BLOCK)))
+        yield int(s[i]), int((s[i:j] + c[i:j]).max()) + window - 1, s[i:j], c[i:j], d[i:j]
+        i = j
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: the index of each of n.sum() elements, and its number within its index."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _chunks(text: np.ndarray, places: pa.ListScalar, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The third digit of the given runs: (shared bytes, whole chunk, place)."""
+    for lo, hi, s, c, d in _split(places, window):
+        sums, inverse = _rolling(text[lo:hi])
+        low = (d - c + 1) // CHUNK
+        i, k = _spread(d // CHUNK - low + 1)
+        # The chunk's last possible window; chunks at a run's ends hold fewer.
+        top = (s + d)[i] - CHUNK * (low[i] + k)
+        first, last = np.maximum(s[i], top - CHUNK + 1), np.minimum((s + c)[i] - 1, top)
+        shared = _hash(sums, inverse, top - lo, top - lo + window - CHUNK + 1)
+        yield shared, mix(_hash(sums, inverse, first - lo, last - lo + window) ^ _SALT), _place(first, last - first + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 21):
-            body, at = byte_rows(col(batch, "text"))
-            out = []
-            for k, (doc, places) in enumerate(zip(col(batch, "doc_id").to_pylist(), col(batch, "places"))):
-                text, wanted = body[at[k] : at[k + 1]], np.sort(places.values.to_numpy())
-                for s, c, a, _ in runs(text, window) if len(text) >= window else ():
-                    mine = np.isin(s << 8 | c, wanted, assume_unique=True)
-                    if not mine.any():
-                        continue
-                    s, c, a = s[mine], c[mine], a[mine]
-                    starts = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    lo, hi = int(starts[0]), int(starts[-1]) + window
-                    sums, inverse = _rolling(text[lo:hi])
-                    digit = mix(_hash(sums, inverse, starts - lo, starts - lo + window) ^ _SALT)
-                    out.append((np.repeat(a, c), digit, np.full(len(digit), doc), starts))
-            if out:
-                a, h, d, p = (np.concatenate(x) for x in zip(*out))
-                first = _firsts_in([d.astype(np.uint64), a, h])
-                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(h[first].view(np.int64)), pa.array(d[first]), pa.array(p[first])], ["anchor", "digit", "doc_id", "place"])
 
-    return texts.mapInArrow(run, "anchor long, digit long, doc_id long, place long")
+def _singles(text: np.ndarray, places: pa.ListScalar, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The last digit of the given chunks: (first half, second half, place) of every window."""
+    for lo, hi, s, c, _ in _split(places, window):
+        sums, inverse = _rolling(text[lo:hi])
+        i, k = _spread(c)
+        at, half = s[i] + k - lo, window // 2
+        yield _hash(sums, inverse, at, at + half), mix(_hash(sums, inverse, at + half, at + window) ^ _SALT), _place(at + lo, np.ones(len(at), np.int64))
 
 
-def _kept_mask(text: np.ndarray, firsts: np.ndarray, open_runs: np.ndarray, singles: np.ndarray, window: int) -> np.ndarray:
-    """Bytes outside all repeated windows. A window is no repeat if its run is a first place that met no other
-    run of its anchor, or if it is a first place itself."""
+def _kept_mask(text: np.ndarray, fresh: np.ndarray, window: int) -> np.ndarray:
+    """Bytes outside all repeated windows: those that are in none of the places in `fresh`."""
     n = len(text)
-    keep = np.ones(n, bool)
     if n < window:
-        return keep
-    fresh = np.zeros(n - window + 1, bool)
-    closed = np.setdiff1d(firsts, open_runs, assume_unique=True)
+        return np.ones(n, bool)
     delta = np.zeros(n - window + 2, np.int32)
-    np.add.at(delta, closed >> 8, 1)
-    np.add.at(delta, (closed >> 8) + (closed & 255), -1)
-    fresh |= np.cumsum(delta[:-1]) > 0
-    fresh[singles] = True
-    again = np.concatenate([~fresh, np.zeros(window - 1, bool)])
+    np.add.at(delta, fresh >> 16, 1)
+    np.add.at(delta, (fresh >> 16) + (fresh >> 8 & 255), -1)
+    again = np.concatenate([np.cumsum(delta[:-1]) == 0, np.zeros(window - 1, bool)])
     reach = np.concatenate([[0], np.cumsum(again)])
     lo = np.maximum(np.arange(n) - window + 1, 0)
     return reach[1:] == reach[lo]
@@ -162,21 +180,28 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     """docs(doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): every byte covered by a
     window-byte string that also starts earlier (smaller doc_id, or same row, earlier start) is removed."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    # Each pass is written before the next one starts, so that no two passes' shuffles are on disk together.
-    firsts = cut(_entries(docs, window).groupBy("anchor", "run").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place")))
-    mixed = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    open_runs = cut(firsts.join(mixed, "anchor", "left_semi").select("doc_id", "place"))
-    del mixed
-    places = open_runs.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    lone = lambda: _windows(docs.join(places, "doc_id").select("doc_id", "text", "places"), window).groupBy("anchor", "digit")
-    singles = cut(lone().agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place")).select("doc_id", "place"))
-    # Everything a document needs to know, in one list: kind 0 first runs, 1 runs met by others, 2 single windows.
-    tagged = [
-        firsts.select("doc_id", (F.col("place") * 4).alias("mark")),
-        open_runs.select("doc_id", (F.col("place") * 4 + 1).alias("mark")),
-        singles.select("doc_id", (F.col("place") * 4 + 2).alias("mark")),
-    ]
-    marks = tagged[0].union(tagged[1]).union(tagged[2]).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    entry = "group long, digit long, doc_id long, place long"
+
+    def sort_pass(source: DataFrame, entries) -> tuple[DataFrame, DataFrame]:
+        """First places of each (group, digit), and those of them whose group holds other digits.
+        Each is written before the next pass starts, so that no two passes' shuffles are on disk together."""
+        firsts = cut(_levels(source, entry, entries).groupBy("group", "digit").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place")))
+        mixed = firsts.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group")
+        return firsts, cut(firsts.join(mixed, "group", "left_semi").select("doc_id", "place"))
+
+    def asked(places: DataFrame) -> DataFrame:
+        lists = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+        return docs.join(lists, "doc_id").select("doc_id", "text", "places")
+
+    whole_runs = lambda text, _: ((a, r, _place(s, c, d)) for s, c, d, a, r in (runs(text, window) if len(text) >= window else ()))
+    firsts, open_runs = sort_pass(docs, whole_runs)
+    chunks, open_chunks = sort_pass(asked(open_runs), lambda text, places: _chunks(text, places, window))
+    singles, _ = sort_pass(asked(open_chunks), lambda text, places: _singles(text, places, window))
+    # Everything a document needs to know, in one list: windows that are first places are even, and odd where
+    # a later digit decides.
+    tagged = [(firsts, 0), (open_runs, 1), (chunks, 0), (open_chunks, 1), (singles, 0)]
+    marks = reduce(DataFrame.union, [df.select("doc_id", (F.col("place") * 2 + odd).alias("mark")) for df, odd in tagged])
+    marks = marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
     joined = docs.join(marks, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +211,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
             for k, (doc, m) in enumerate(zip(col(batch, "doc_id").to_pylist(), col(batch, "marks"))):
                 text = body[at[k] : at[k + 1]]
                 m = m.values.to_numpy() if m.is_valid else np.zeros(0, np.int64)
-                kind, place = m & 3, m >> 2
-                keep = _kept_mask(text, place[kind == 0], place[kind == 1], place[kind == 2], window) if doc is not None else np.ones(len(text), bool)
+                # A place that is open goes once: a run and a chunk, or a chunk and a window, can be alike.
+                closed, n = np.unique(np.sort(m >> 1), return_counts=True)
+                odd, n_odd = np.unique((m >> 1)[m & 1 == 1], return_counts=True)
+                n[np.searchsorted(closed, odd)] -= 2 * n_odd
+                keep = _kept_mask(text, closed[n > 0], window) if doc is not None else np.ones(len(text), bool)
                 edge = np.diff(np.concatenate([[True], keep]).astype(np.int8))
                 kept = text[keep].tobytes()
                 rows.append((doc, len(text), len(text) - len(kept), int((edge < 0).sum()), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
