@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, byte_rows, col, cut, mix, nonspace_bytes, pieces, span_hash, uncut, word_spans
 from .graph import components
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Least size of a sketch in longs.
 SKETCH = 8
 ROUNDS = 2
@@ -70,8 +70,8 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
         for batch in pieces(batches, "text"):
-            for s in _sets(batch, k):
-                n += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            sets = [np.zeros(0, np.uint64), *_sets(batch, k)]
+            n += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], ["bucket", "n"])
 
