@@ -2,10 +2,11 @@
 
 A line's shingles are the 12 characters from every word on (5 characters from every place on, where
 words are long or there are no spaces). Its signature is its smallest shingle hashes; a band is three
-neighbours of that order, so two lines at similarity 0.8 share one of ten bands almost always. Bands
-with several lines pair each with the band's leader, another one in each round; pairs are verified by
-exact Jaccard on whole shingle sets, and distributed union-find keeps the first line (by doc_id, then
-line) of each component. Equal lines are collapsed by hash before anything else, so a line that a third
+neighbours of that order, so two lines at similarity 0.8 share one of ten bands almost always. Bands of
+a few lines give all their pairs; in longer ones each line meets the band's leader, another one in each
+round, and then all pairs that are still in different components. Pairs are verified by exact Jaccard on
+whole shingle sets, and distributed union-find keeps the first line (by doc_id, then line) of each
+component. Equal lines are collapsed by hash before anything else, so a line that a third
 of all documents hold is one row per task.
 
 Lines are compared trimmed and lower-cased; blank lines always stay and null texts stay null. Rows
@@ -23,6 +24,8 @@ from .graph import components
 PERCENT = 80
 BANDS = 10
 ROUNDS = 2
+#: Bands up to this length give all their pairs at once.
+SHORT = 8
 #: doc_id * SHIFT + line number orders lines; decimal, so no id is too large.
 SHIFT = 1 << 31
 
@@ -36,12 +39,12 @@ def shingles(line: Column) -> Column:
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
-    """lines(id, norm) to (id, band): hashes of up to BANDS runs of three neighbours in the rising order of
+    """lines(id, norm) to (id, n, band), n the number of shingles: hashes of up to BANDS runs of three neighbours in the rising order of
     the shingle hashes, which closes to a ring. Each step is a column of its own, so it is computed once."""
     s = lines.select("id", F.sort_array(shingles(F.col("norm"))).alias("s"))
     s = s.select("id", F.size("s").alias("n"), F.concat("s", F.slice(F.concat("s", "s"), 1, 2)).alias("ring"))
     at = F.sequence(F.lit(1), F.least("n", F.lit(BANDS)))
-    return s.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("ring", i, 3))))).alias("band"))
+    return s.select("id", "n", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("ring", i, 3))))).alias("band"))
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -63,25 +66,52 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = cut(texts.select("id", shingles(F.col("norm")).alias("s")))
     root: DataFrame | None = None
     edges: DataFrame | None = None
-    for r in range(ROUNDS):
-        here = seats
-        if root is None:
-            here = here.withColumn("root", F.col("id"))
-        else:
-            here = here.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        turn = F.xxhash64("id", F.lit(r))
-        lead = here.groupBy("band").agg(F.min_by("id", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        pairs = here.join(lead.filter("lo <> hi"), "band").filter("root <> lead_root")
-        pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+    def merge(pairs: DataFrame) -> None:
+        """Add the links of the pairs (a, b) that meet the threshold."""
+        nonlocal edges, root
+        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sum"))
-        linked = cut(both.filter((100 + percent) * F.col("same") >= percent * F.col("sum")).select("a", "b"))
-        if not linked.take(1):
-            uncut(linked)
-            break
-        edges = linked if edges is None else edges.unionByName(linked)
+        both = p.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sum"))
+        new = cut(both.filter((100 + percent) * F.col("same") >= percent * F.col("sum")).select("a", "b"))
+        if not new.take(1):
+            uncut(new)
+            return
+        edges = new if edges is None else edges.unionByName(new)
         root = components(edges)
 
+    def fits(a: str, b: str) -> Column:
+        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+    # Short bands give all their pairs; their number is within SHORT times the band's length.
+    sizes = cut(seats.groupBy("band").agg(F.count("*").alias("c")))
+    short = seats.join(sizes.filter(F.col("c") <= SHORT).select("band"), "band")
+    x, y = short.select("band", F.col("id").alias("a"), F.col("n").alias("an")), short.select("band", F.col("id").alias("b"), F.col("n").alias("bn"))
+    merge(x.join(y, "band").filter("a < b").filter(fits("an", "bn")))
+
+    long = cut(seats.join(sizes.filter(F.col("c") > SHORT).select("band"), "band"))
+
+    def seated() -> DataFrame:
+        if root is None:
+            return long.withColumn("root", F.col("id"))
+        return long.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    if long.take(1):
+        for r in range(ROUNDS):
+            here = seated()
+            turn = F.xxhash64("id", F.lit(r))
+            lead = here.groupBy("band").agg(F.min_by("id", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"), F.min_by("n", turn).alias("lead_n"))
+            pairs = here.join(lead, "band").filter("root <> lead_root").filter(fits("n", "lead_n"))
+            merge(pairs.select(F.col("id").alias("a"), F.col("lead").alias("b")))
+
+        # What is left: pairs across components. One side is outside its band's largest component.
+        here = cut(seated())
+        shares = here.groupBy("band", "root").agg(F.count("*").alias("c"))
+        major = cut(shares.groupBy("band").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).filter("roots > 1"))
+        minor = here.join(major, "band").filter("root <> major").select("band", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
+        rest = minor.join(here.join(major.select("band"), "band", "left_semi"), "band").filter("xr <> root").filter(fits("xn", "n"))
+        merge(rest.select(F.col("x").alias("a"), F.col("id").alias("b")))
+
     keys = cut(lines.select("doc_id", "at", "ord", "id"))
     firsts = keys.groupBy("id").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     if root is not None:

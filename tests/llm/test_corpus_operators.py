@@ -319,3 +319,33 @@ def test_repeated_rows_give_repeated_rows(spark, docs):
     assert suffix_dedup.dedup(twice).count() == n and jaccard_join.cluster(twice).count() == n and line_dedup.report(twice).count() == n
     assert jaccard_join.keep_one(twice).groupBy("doc_id").count().filter("count > 1").count() == 0
     assert packing.pack(twice).filter(F.col("piece") == 0).count() == n
+
+
+def test_line_dedup_links_every_pair_of_a_band(spark):
+    r = random.Random(7)
+    template = [f"word{i}" for i in range(24)]
+    lines = []
+    for i in range(300):
+        line = list(template)
+        for at in r.sample(range(24), 3):
+            line[at] = f"v{i}p{at}"
+        lines += [" ".join(line), " ".join(line) + "s"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    norm = line_dedup.explode_lines(df).select("doc_id", "id", "norm")
+    sets = {x.doc_id: set(x.s) for x in norm.select("doc_id", line_dedup.shingles(F.col("norm")).alias("s")).collect()}
+    bands = defaultdict(set)
+    for x in line_dedup.with_bands(norm.select(F.col("doc_id").alias("id"), "norm")).collect():
+        bands[x.band].add(x.id)
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(a, b) for band in bands.values() for a in band for b in band if a < b}:
+        if 180 * len(sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b])):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    assert max(map(len, bands.values())) > 100
+    assert {x.doc_id for x in line_dedup.repeats(df).collect()} == {i for i, up in enumerate(root) if up != i}
