@@ -28,14 +28,17 @@ ROUNDS = 2
 SHORT = 8
 #: doc_id * SHIFT + line number orders lines; decimal, so no id is too large.
 SHIFT = 1 << 31
+#: White space that may surround a line, all but the line feed.
+WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def shingles(line: Column) -> Column:
     """Distinct shingle hashes of a normalised line; an array with one element at least."""
     spaced = F.length(F.translate(line, " ", "")) * 16 < F.length(line) * 15
-    by_word = F.regexp_extract_all(line, F.lit(r"(?=(.{1,12}))\S+\s*"), F.lit(1))
-    by_place = F.regexp_extract_all(line, F.lit(r"(?=(.{1,5})).(?=.{4}|$)"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(spaced, by_word).otherwise(by_place), lambda x: F.xxhash64(x)))
+    by_word = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,12}))\S+\s*"), F.lit(1))
+    by_place = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,5})).(?=.{4}|$)"), F.lit(1))
+    found = F.array_distinct(F.transform(F.when(spaced, by_word).otherwise(by_place), lambda x: F.xxhash64(x)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(line)))
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def with_bands(lines: DataFrame) -> DataFrame:
 def explode_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, at, ord, id, norm) of every line that is not blank."""
     lines = docs.select(docs["doc_id"], F.posexplode(F.split(docs["text"], "\n")).alias("at", "line"))
-    lines = lines.withColumn("norm", F.trim(F.lower("line"))).filter("norm <> ''")
+    lines = lines.withColumn("norm", F.trim(F.lower("line"), F.lit(WHITE))).filter("norm <> ''")
     order = F.col("doc_id").cast("decimal(20,0)") * F.lit(SHIFT).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
     return lines.select("doc_id", "at", order.cast("decimal(38,0)").alias("ord"), F.xxhash64("norm").alias("id"), "norm")
 
@@ -150,6 +153,6 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines cut out; documents that had lines and keep none go."""
     cols = docs.columns
     out = dedup(docs).withColumn("_kept", kept_text())
-    out = out.filter("gone is null or trim(_kept) <> ''")
+    out = out.filter(F.col("gone").isNull() | (F.trim("_kept", F.lit(WHITE)) != ""))
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])

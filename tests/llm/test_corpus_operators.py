@@ -349,3 +349,10 @@ def test_line_dedup_links_every_pair_of_a_band(spark):
             root[high] = low
     assert max(map(len, bands.values())) > 100
     assert {x.doc_id for x in line_dedup.repeats(df).collect()} == {i for i, up in enumerate(root) if up != i}
+
+
+def test_line_dedup_reads_blank_lines_of_any_kind(spark):
+    rows = {1: "first line\r\n\r\nsecond line\r\n\r", 2: "first line\n  \n\u0085\nsecond line", 3: "first line\r\n\r", 4: "a b\n　a b\x85"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {(r.doc_id, r["at"]) for r in line_dedup.repeats(df).collect()} == {(2, 0), (2, 3), (3, 0), (4, 1)}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()} == {1: rows[1], 2: "  \n\u0085", 4: "a b"}
