@@ -1,13 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are the 12 characters from every word on (5 characters from every place on, where
-words are long or there are no spaces). Its signature is its smallest shingle hashes; a band is three
-neighbours of that order, so two lines at similarity 0.8 share one of ten bands almost always. Bands of
-a few lines give all their pairs; in longer ones each line meets the band's leader, another one in each
-round, and then all pairs that are still in different components. Pairs are verified by exact Jaccard on
-whole shingle sets, and distributed union-find keeps the first line (by doc_id, then line) of each
-component. Equal lines are collapsed by hash before anything else, so a line that a third
-of all documents hold is one row per task.
+A line's shingles are the 5 characters from every place on (the whole line, where it is shorter). Its
+signature is its smallest shingle hashes; a band is three neighbours of that order, so two lines at
+similarity 0.8 share one of ten bands almost always. Bands of a few lines give all their pairs; in longer
+ones each line meets the band's leader, another one in each round, and then all pairs that are still in
+different components. Pairs are verified by exact Jaccard on whole shingle sets, and distributed
+union-find keeps the first line (by doc_id, then line) of each component. Equal lines are collapsed by
+hash before anything else, so a line that a third of all documents hold is one row per task.
 
 Lines are compared trimmed and lower-cased; blank lines always stay and null texts stay null. Rows
 without doc_id lose only lines that others have first; of equal rows the same lines go.
@@ -34,16 +33,14 @@ WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0
 
 def shingles(line: Column) -> Column:
     """Distinct shingle hashes of a normalised line; an array with one element at least."""
-    spaced = F.length(F.translate(line, " ", "")) * 16 < F.length(line) * 15
-    by_word = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,12}))\S+\s*"), F.lit(1))
-    by_place = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,5})).(?=.{4}|$)"), F.lit(1))
-    found = F.array_distinct(F.transform(F.when(spaced, by_word).otherwise(by_place), lambda x: F.xxhash64(x)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(line)))
+    by_place = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))."), F.lit(1))
+    found = F.array_distinct(F.transform(by_place, lambda x: F.xxhash64(x)))
+    return F.when(F.length(line) >= 5, found).otherwise(F.array(F.xxhash64(line)))
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
-    """lines(id, norm) to (id, n, band), n the number of shingles: hashes of up to BANDS runs of three neighbours in the rising order of
-    the shingle hashes, which closes to a ring. Each step is a column of its own, so it is computed once."""
+    """lines(id, norm) to (id, n, band): the number of shingles, and hashes of up to BANDS runs of three
+    neighbours in the rising order of the shingle hashes, which closes to a ring. Each step is a column of its own, so it is computed once."""
     s = lines.select("id", F.sort_array(shingles(F.col("norm"))).alias("s"))
     s = s.select("id", F.size("s").alias("n"), F.concat("s", F.slice(F.concat("s", "s"), 1, 2)).alias("ring"))
     at = F.sequence(F.lit(1), F.least("n", F.lit(BANDS)))
@@ -65,32 +62,30 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = cut(with_bands(lines.select("id", "norm")))
     crowded = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("band")
     seats = cut(keyed.join(crowded, "band").distinct(), keyed)
-    texts = lines.select("id", "norm").join(seats.select("id").distinct(), "id").groupBy("id").agg(F.min("norm").alias("norm"))
-    sets = cut(texts.select("id", shingles(F.col("norm")).alias("s")))
+    # Texts, not sets: a set takes eight times the text's bytes.
+    texts = cut(lines.select("id", "norm").join(seats.select("id").distinct(), "id").groupBy("id").agg(F.min("norm").alias("norm")))
     root: DataFrame | None = None
     edges: DataFrame | None = None
 
     def merge(pairs: DataFrame) -> None:
-        """Add the links of the pairs (a, b) that meet the threshold."""
+        """Add the links of the pairs (a, an, b, bn) that meet the threshold; an and bn are sizes."""
         nonlocal edges, root
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        both = p.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sum"))
-        new = cut(both.filter((100 + percent) * F.col("same") >= percent * F.col("sum")).select("a", "b"))
+        pairs = pairs.filter((F.col("an") * 100 >= F.col("bn") * percent) & (F.col("bn") * 100 >= F.col("an") * percent))
+        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("sum")).distinct()
+        x, y = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
+        same = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+        new = cut(p.join(x, "a").join(y, "b").filter((100 + percent) * same >= percent * F.col("sum")).select("a", "b"))
         if not new.take(1):
             uncut(new)
             return
         edges = new if edges is None else edges.unionByName(new)
         root = components(edges)
 
-    def fits(a: str, b: str) -> Column:
-        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
     # Short bands give all their pairs; their number is within SHORT times the band's length.
     sizes = cut(seats.groupBy("band").agg(F.count("*").alias("c")))
     short = seats.join(sizes.filter(F.col("c") <= SHORT).select("band"), "band")
     x, y = short.select("band", F.col("id").alias("a"), F.col("n").alias("an")), short.select("band", F.col("id").alias("b"), F.col("n").alias("bn"))
-    merge(x.join(y, "band").filter("a < b").filter(fits("an", "bn")))
+    merge(x.join(y, "band").filter("a < b"))
 
     long = cut(seats.join(sizes.filter(F.col("c") > SHORT).select("band"), "band"))
 
@@ -104,16 +99,16 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             here = seated()
             turn = F.xxhash64("id", F.lit(r))
             lead = here.groupBy("band").agg(F.min_by("id", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"), F.min_by("n", turn).alias("lead_n"))
-            pairs = here.join(lead, "band").filter("root <> lead_root").filter(fits("n", "lead_n"))
-            merge(pairs.select(F.col("id").alias("a"), F.col("lead").alias("b")))
+            pairs = here.join(lead, "band").filter("root <> lead_root")
+            merge(pairs.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("lead").alias("b"), F.col("lead_n").alias("bn")))
 
         # What is left: pairs across components. One side is outside its band's largest component.
         here = cut(seated())
         shares = here.groupBy("band", "root").agg(F.count("*").alias("c"))
         major = cut(shares.groupBy("band").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).filter("roots > 1"))
         minor = here.join(major, "band").filter("root <> major").select("band", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-        rest = minor.join(here.join(major.select("band"), "band", "left_semi"), "band").filter("xr <> root").filter(fits("xn", "n"))
-        merge(rest.select(F.col("x").alias("a"), F.col("id").alias("b")))
+        rest = minor.join(here.join(major.select("band"), "band", "left_semi"), "band").filter("xr <> root")
+        merge(rest.select(F.col("x").alias("a"), F.col("xn").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn")))
 
     keys = cut(lines.select("doc_id", "at", "ord", "id"))
     firsts = keys.groupBy("id").agg(F.min("ord").alias("first"), F.count("*").alias("n"))

@@ -356,3 +356,18 @@ def test_line_dedup_reads_blank_lines_of_any_kind(spark):
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     assert {(r.doc_id, r["at"]) for r in line_dedup.repeats(df).collect()} == {(2, 0), (2, 3), (3, 0), (4, 1)}
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()} == {1: rows[1], 2: "  \n\u0085", 4: "a b"}
+
+
+def test_line_dedup_finds_one_changed_letter_in_ordinary_lines(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(40):
+        line = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxy") for _ in range(r.randrange(4, 8))) for _ in range(12))
+        at = r.choice([j for j, ch in enumerate(line) if ch != " "])
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "z" + line[at + 1 :])]
+    rows += [(100, "ab"), (101, "cb"), (102, "ab")]
+    grams = lambda t: {t[j : j + 5] for j in range(len(t) - 4)}
+    near = {b for (_, x), (b, y) in zip(rows[0:80:2], rows[1:80:2]) if 10 * len(grams(x) & grams(y)) >= 8 * len(grams(x) | grams(y))}
+    assert len(near) > 35
+    got = {x.doc_id for x in line_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= near | {102} and 102 in got and len(got) >= 36
