@@ -46,7 +46,9 @@ class _Fuzzy:
             n = edits + 1
             cuts = [round(i * len(phrase) / n) for i in range(n + 1)]
             seeds = [(a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:])]
-            pattern = regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(phrase, literal_spaces=True).encode(), edits))
+            # Word bounds are part of the pattern, so the best match among those at word bounds is returned.
+            word = rb"[0-9A-Za-z\x80-\xff]"
+            pattern = regex.compile(rb"(?b)(?<!%s)(?=%s)(?:%s){e<=%d}(?<=%s)(?!%s)" % (word, word, regex.escape(phrase, literal_spaces=True).encode(), edits, word, word))
             self.items.append((phrase, label, edits, seeds, pattern))
 
     def spans(self, text: bytes) -> list[tuple[str, int, int, int]]:
@@ -63,7 +65,7 @@ class _Fuzzy:
             for lo, hi in sorted(set(windows)):
                 if hi <= last:
                     continue
-                m = pattern.search(text, max(lo, last), hi)
+                m = pattern.search(text, max(lo - 1, last, 0), hi + 1)  # one byte more on each side, for the bounds
                 if not m or m.end() == m.start():
                     continue
                 s, e = m.span()

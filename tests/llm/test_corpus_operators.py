@@ -371,3 +371,10 @@ def test_line_dedup_finds_one_changed_letter_in_ordinary_lines(spark):
     assert len(near) > 35
     got = {x.doc_id for x in line_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got <= near | {102} and 102 in got and len(got) >= 36
+
+
+def test_license_notices_with_an_edit_at_an_end():
+    fuzzy = license_scan._Fuzzy(license_scan.PHRASES)
+    for text, label in [("mit licenses", "mit"), ("mit licensed", "mit"), ("apache licenses", "apache"), ("gnu general public licenses", "gpl")]:
+        assert fuzzy.spans(f"the {text}.".encode()) == [(label, 4, 4 + len(text), 1)]
+    assert fuzzy.spans(b"permit license") == [] and fuzzy.spans(b"the mit license") == [("mit", 4, 15, 0)]
