@@ -373,6 +373,16 @@ def test_line_dedup_finds_one_changed_letter_in_ordinary_lines(spark):
     assert got <= near | {102} and 102 in got and len(got) >= 36
 
 
+def test_toxicity_reads_every_kind_of_disguise():
+    text = "you idiot " * 50 + "your ass is in stupid shit, you are an idiot or a kind person " * 50
+    body = ("\0\0" + text + "\0\0").encode()
+    c = toxicity._classes()[np.frombuffer(body, np.uint8)]
+    channel = toxicity.Channel(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3))
+    for disguised, word in [("idio7", "idiot"), ("a$$", "ass"), ("5h17!", "shit"), ("st00000pid", "stopid"), ("a s s", "ass"), ("y o u i d i o t", "idiot"), ("i" * 20 + "d" * 20 + "iot", "idiot"), ("i.d.i.o.t " * 1 + "x", "idiot"), ("y o u " * 20 + "i d i o t", "idiot")]:
+        assert word in channel.restore(f"see {disguised} here").split(), disguised
+    assert channel.restore("plain words, (1) 2024!") == "plain words, (1) 2024!" and channel.restore("") == ""
+
+
 def test_license_notices_with_an_edit_at_an_end():
     fuzzy = license_scan._Fuzzy(license_scan.PHRASES)
     for text, label in [("mit licenses", "mit"), ("mit licensed", "mit"), ("apache licenses", "apache"), ("gnu general public licenses", "gpl")]:
