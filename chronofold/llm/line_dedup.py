@@ -1,153 +1,268 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are the 5 characters from every place on (the whole line, where it is shorter). Its
-signature is its smallest shingle hashes; a band is three neighbours of that order, so two lines at
-similarity 0.8 share one of ten bands almost always. Bands of a few lines give all their pairs; in longer
-ones each line meets the band's leader, another one in each round, and then all pairs that are still in
-different components. Pairs are verified by exact Jaccard on whole shingle sets, and distributed
-union-find keeps the first line (by doc_id, then line) of each component. Equal lines are collapsed by
-hash before anything else, so a line that a third of all documents hold is one row per task.
+1. Equal lines are collapsed first: one row for each distinct text, with the place of its first occurrence.
+2. A line's shingles are the 5 characters from every place on (the whole line, where it is shorter). Its
+   signature is SIDE * SIDE minima of the shingle hashes, each under another constant (exclusive or); the
+   places of the signature form a square whose rows and columns are the bands. Minima are taken over the
+   quarter of the shingles that their own hash picks, and the line's first one; lines under SHORT
+   characters have a second signature, over all their shingles, to meet each other. Over all shingles,
+   lines at similarity 0.8 share a band with probability 0.95, at 0.85 with 0.987, at 0.9 with 0.998.
+3. In each band every line meets the band's first line, then a few others that it is not linked with yet.
+   Distributed union-find joins what links; at last all pairs of a band that are still in different
+   components meet, if a parity sketch, which never calls two sets further apart than they are, allows the
+   threshold. Nothing is capped.
+4. Pairs whose signatures agree in AGREE places at least (at similarity 0.8 all but 0.2 %) are verified by
+   exact Jaccard on whole shingle sets, and union-find keeps the first line (by doc_id, then line) of each
+   component.
 
 Lines are compared trimmed and lower-cased; blank lines always stay and null texts stay null. Rows
-without doc_id lose only lines that others have first; of equal rows the same lines go.
+without doc_id stay whole and take part in nothing; of equal rows the same lines go. A line is one row
+whatever its length; no lines (an empty table, blank texts) give no rows. Ties of place, as in rows that
+share a doc_id, leave each of the tied lines.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, uncut
+from .common import cut, fresh, uncut
 from .graph import components
 
 PERCENT = 80
-BANDS = 10
+#: Characters of a shingle.
+GRAM = 5
+#: Hashes of a band; the signature has SIDE * SIDE. With more lines than some 10^8, six keep chance pairs few.
+SIDE = 5
+#: Lines of fewer characters have a signature over all their shingles too.
+SHORT = 128
+#: Equal places of two signatures from which a pair is verified.
+AGREE = 14
+#: Longs of a parity sketch.
+PARITY = 16
+#: Further leaders that each line of a longer band meets before the pairs across components do.
 ROUNDS = 2
-#: Bands up to this length give all their pairs at once.
-SHORT = 8
+#: A line that has more than 1 / HOT of all occurrences is joined by broadcast; there are fewer than HOT.
+HOT = 1000
+#: Lists of up to so many line ids (16 MB) are broadcast.
+LISTED = 1_000_000
 #: doc_id * SHIFT + line number orders lines; decimal, so no id is too large.
 SHIFT = 1 << 31
 #: White space that may surround a line, all but the line feed.
-WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+
+_PLACES = range(SIDE * SIDE)
+_MASKS = [random.Random(j).getrandbits(64) - (1 << 63) for j in _PLACES]
+#: Signature places of each band: rows and columns.
+_BANDS = [
+    *[[SIDE * i + k for k in range(SIDE)] for i in range(SIDE)],
+    *[[SIDE * k + i for k in range(SIDE)] for i in range(SIDE)],
+]
+#: Signature places in one long, a byte each; the eighth byte stays free for sums.
+_PACK = 7
+_LOW = 0x7F7F7F7F7F7F7F
+_SKETCH = [f"s{i}" for i in range(0, SIDE * SIDE, _PACK)]
 
 
 def shingles(line: Column) -> Column:
-    """Distinct shingle hashes of a normalised line; an array with one element at least."""
-    by_place = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))."), F.lit(1))
-    found = F.array_distinct(F.transform(by_place, lambda x: F.xxhash64(x)))
-    return F.when(F.length(line) >= 5, found).otherwise(F.array(F.xxhash64(line)))
+    """The distinct shingles of a line; one at least."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
+    return F.when(F.length(line) >= GRAM, F.array_distinct(found)).otherwise(F.array(line))
+
+
+def grams(lines: DataFrame) -> DataFrame:
+    """lines(id, norm) to (id, at, h): the place and hash of each shingle, repeats included."""
+    units = lines.select("id", F.expr("encode(norm, 'UTF-32')").alias("u"), F.length("norm").alias("n"))
+    places = units.select("id", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0)))).alias("at"))
+    return places.select("id", "at", F.xxhash64(F.expr(f"substring(u, 4 * at + 1, {4 * GRAM})")).alias("h"))
+
+
+def _minima(shingles: DataFrame, kind: int) -> DataFrame:
+    low = shingles.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_MASKS)])
+    return low.withColumn("kind", F.lit(kind))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """lines(id, norm) to (id, kind, bands, sketch columns): band hashes, and a byte of each minimum."""
+    some = _minima(grams(lines).filter((F.col("h").bitwiseAND(F.lit(3)) == 0) | (F.col("at") == 0)), 0)
+    low = some.unionByName(_minima(grams(lines.filter(F.length("norm") < SHORT)), 1))
+    bands = F.array(*[F.xxhash64(F.lit(k), "kind", *[f"m{j}" for j in band]) for k, band in enumerate(_BANDS)])
+    packed = []
+    for i in range(0, SIDE * SIDE, _PACK):
+        some = [F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(255)), 8 * (j - i)) for j in _PLACES[i : i + _PACK]]
+        whole = some[0]
+        for x in some[1:]:
+            whole = whole.bitwiseOR(x)
+        packed.append(whole.alias(f"s{i}"))
+    return low.select("id", "kind", bands.alias("bands"), *packed)
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """lines(id, norm) to (id, n, band): the number of shingles, and hashes of up to BANDS runs of three
-    neighbours in the rising order of the shingle hashes, which closes to a ring. Each step is a column of its own, so it is computed once."""
-    s = lines.select("id", F.sort_array(shingles(F.col("norm"))).alias("s"))
-    s = s.select("id", F.size("s").alias("n"), F.concat("s", F.slice(F.concat("s", "s"), 1, 2)).alias("ring"))
-    at = F.sequence(F.lit(1), F.least("n", F.lit(BANDS)))
-    return s.select("id", "n", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("ring", i, 3))))).alias("band"))
+def agreement(a: str, b: str) -> Column:
+    """In how many places the sketches with the prefixes a and b agree."""
+    n = F.lit(-(_PACK * len(_SKETCH) - SIDE * SIDE))
+    for s in _SKETCH:
+        x = F.col(a + s).bitwiseXOR(F.col(b + s))
+        used = (x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x).bitwiseOR(F.lit(_LOW)).bitwiseAND(F.lit((1 << 56) - 1))
+        n = n + F.lit(56) - F.bit_count(used)
+    return n
+
+
+def parities(lines: DataFrame) -> DataFrame:
+    """lines(id, norm) to (id, n, parity columns): the number of distinct shingles, and for each of 64 * PARITY
+    buckets whether an odd number of them is in it."""
+    distinct = lines.select("id", F.explode(shingles(F.col("norm"))).alias("g")).select("id", F.xxhash64("g").alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1))
+    return distinct.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)])
+
+
+def near(a: str, b: str, percent: int) -> Column:
+    """Whether parities allow two lines to meet the threshold: their distance is the sets' difference at most."""
+    apart = sum((F.bit_count(F.col(f"{a}p{j}").bitwiseXOR(F.col(f"{b}p{j}"))) for j in range(PARITY)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(a + "n") + F.col(b + "n"))
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, ord, id, norm) of every line that is not blank."""
-    lines = docs.select(docs["doc_id"], F.posexplode(F.split(docs["text"], "\n")).alias("at", "line"))
-    lines = lines.withColumn("norm", F.trim(F.lower("line"), F.lit(WHITE))).filter("norm <> ''")
+    """(doc_id, at, ord, id, more, norm) of every line that is not blank; id and more are 128 bits of its hash."""
+    lines = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"], F.posexplode(F.split(F.lower(docs["text"]), "\n")).alias("at", "line"))
+    lines = lines.withColumn("norm", F.trim("line", F.lit(WHITE))).filter("norm <> ''")
     order = F.col("doc_id").cast("decimal(20,0)") * F.lit(SHIFT).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
-    return lines.select("doc_id", "at", order.cast("decimal(38,0)").alias("ord"), F.xxhash64("norm").alias("id"), "norm")
+    return lines.select("doc_id", "at", order.cast("decimal(38,0)").alias("ord"), F.xxhash64("norm").alias("id"), F.xxhash64(F.lit("more"), "norm").alias("more"), "norm")
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, at) of every line to drop."""
-    lines = explode_lines(docs)
-    # Written, as both the count and the join below read it.
-    keyed = cut(with_bands(lines.select("id", "norm")))
-    crowded = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("band")
-    seats = cut(keyed.join(crowded, "band").distinct(), keyed)
-    # Texts, not sets: a set takes eight times the text's bytes.
-    texts = cut(lines.select("id", "norm").join(seats.select("id").distinct(), "id").groupBy("id").agg(F.min("norm").alias("norm")))
-    root: DataFrame | None = None
+def _side(df: DataFrame, prefix: str, *cols: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in cols])
+
+
+def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, root) of the lines texts(id, norm, first) that are linked with others, by `first`; None without any.
+    texts is a cut, and deleted as soon as only lines that share a band are needed."""
+    sketches = cut(signatures(texts.select("id", "norm")))
+    keyed = sketches.select("id", "kind", F.explode("bands").alias("band"))
+    crowded = keyed.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("c")).filter("lead <> last")
+    crowded = cut(crowded.select("band", "lead", "c"))
+    seats = cut(keyed.join(crowded, "band"), crowded)
+    at = ["id", "kind"]
+    # From here on only lines that share a band. A short list of them is broadcast, so that no text is shuffled.
+    some = cut(seats.select("id").distinct())
+    near_texts = cut(texts.join(F.broadcast(some) if some.count() <= LISTED else some, "id").select("id", "first", "norm"), some)
+    uncut(texts)
     edges: DataFrame | None = None
+    root: DataFrame | None = None
 
     def merge(pairs: DataFrame) -> None:
-        """Add the links of the pairs (a, an, b, bn) that meet the threshold; an and bn are sizes."""
+        """Add the links of the pairs (a, b) of ids, whose sketches agree, that meet the threshold."""
         nonlocal edges, root
-        pairs = pairs.filter((F.col("an") * 100 >= F.col("bn") * percent) & (F.col("bn") * 100 >= F.col("an") * percent))
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("sum")).distinct()
-        x, y = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
-        same = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
-        new = cut(p.join(x, "a").join(y, "b").filter((100 + percent) * same >= percent * F.col("sum")).select("a", "b"))
+        pairs = cut(pairs.select("a", "b").distinct())
+        some = near_texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
+        sets = cut(some.select("id", "first", shingles(F.col("norm")).alias("set")))
+        x, y = sets.select(F.col("id").alias("a"), F.col("first").alias("x"), F.col("set").alias("xs")), sets.select(F.col("id").alias("b"), F.col("first").alias("y"), F.col("set").alias("ys"))
+        both = pairs.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("xs", "ys")))
+        new = cut(both.filter((100 + percent) * F.col("same") >= percent * (F.size("xs") + F.size("ys"))).select(F.col("x").alias("a"), F.col("y").alias("b")), sets)
+        uncut(pairs)
         if not new.take(1):
             uncut(new)
             return
         edges = new if edges is None else edges.unionByName(new)
+        if root is not None:
+            uncut(root)
         root = components(edges)
 
-    # Short bands give all their pairs; their number is within SHORT times the band's length.
-    sizes = cut(seats.groupBy("band").agg(F.count("*").alias("c")))
-    short = seats.join(sizes.filter(F.col("c") <= SHORT).select("band"), "band")
-    x, y = short.select("band", F.col("id").alias("a"), F.col("n").alias("an")), short.select("band", F.col("id").alias("b"), F.col("n").alias("bn"))
-    merge(x.join(y, "band").filter("a < b"))
+    def seated(seats: DataFrame) -> DataFrame:
+        """The seats with their lines' components."""
+        roots = near_texts.select("id", "first")
+        if root is None:
+            return seats.join(roots.withColumnRenamed("first", "root"), "id")
+        roots = roots.join(root.withColumnRenamed("node", "first"), "first", "left")
+        return seats.join(roots.select("id", F.coalesce("root", "first").alias("root")), "id")
 
-    long = cut(seats.join(sizes.filter(F.col("c") > SHORT).select("band"), "band"))
+    def led(pairs: DataFrame) -> None:
+        """Verify the pairs (id, lead, kind)."""
+        pairs = pairs.select("id", "kind", "lead").distinct()
+        pairs = pairs.join(_side(sketches, "x", *at, *_SKETCH).withColumnsRenamed({"xid": "id", "xkind": "kind"}), at)
+        pairs = pairs.join(_side(sketches, "y", *at, *_SKETCH).withColumnsRenamed({"yid": "lead", "ykind": "kind"}), ["lead", "kind"])
+        merge(pairs.filter(agreement("x", "y") >= AGREE).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
 
-    def seated() -> DataFrame:
-        if root is None:
-            return long.withColumn("root", F.col("id"))
-        return long.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    if long.take(1):
-        for r in range(ROUNDS):
-            here = seated()
-            turn = F.xxhash64("id", F.lit(r))
-            lead = here.groupBy("band").agg(F.min_by("id", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"), F.min_by("n", turn).alias("lead_n"))
-            pairs = here.join(lead, "band").filter("root <> lead_root")
-            merge(pairs.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("lead").alias("b"), F.col("lead_n").alias("bn")))
-
-        # What is left: pairs across components. One side is outside its band's largest component.
-        here = cut(seated())
-        shares = here.groupBy("band", "root").agg(F.count("*").alias("c"))
-        major = cut(shares.groupBy("band").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).filter("roots > 1"))
-        minor = here.join(major, "band").filter("root <> major").select("band", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-        rest = minor.join(here.join(major.select("band"), "band", "left_semi"), "band").filter("xr <> root")
-        merge(rest.select(F.col("x").alias("a"), F.col("xn").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn")))
-
-    keys = cut(lines.select("doc_id", "at", "ord", "id"))
-    firsts = keys.groupBy("id").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    led(seats.filter("id <> lead"))
+    # Bands of two lines are done. In the others each line meets a few more leaders, where it is not linked yet.
+    seats = cut(seats.filter("c > 2").select("band", *at), seats)
+    for r in range(ROUNDS):
+        here = cut(seated(seats))
+        turn = F.xxhash64("id", F.lit(r))
+        lead = here.groupBy("band").agg(F.min_by("id", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        led(here.join(lead, "band").filter("root <> lead_root"))
+        uncut(here)
+
+    # What is left: pairs of a band across components. One of the two is outside the band's largest component.
+    here = cut(seated(seats), seats)
+    shares = here.groupBy("band", "root").agg(F.count("*").alias("c"))
+    open_bands = shares.groupBy("band").agg(F.max("c").alias("c"), F.count("*").alias("roots")).filter("roots > 1").select("band", "c")
+    major = shares.join(open_bands, ["band", "c"]).groupBy("band").agg(F.min("root").alias("major"))
+    here = cut(here.join(major, "band").join(sketches.drop("bands"), at), here)
+    known = ["band", "id", "root", "major", *_SKETCH]
+    x, y = _side(here, "x", *known), _side(here, "y", *known)
+    apart = (F.col("xband") == F.col("yband")) & (F.col("xroot") != F.col("yroot")) & (agreement("x", "y") >= AGREE)
+    # Only lines with a candidate need a parity sketch.
+    some = x.join(y, apart, "left_semi").select(F.col("xid").alias("id")).distinct()
+    facts = cut(parities(near_texts.join(some, "id").select("id", "norm")))
+    seats = cut(here.join(facts, "id"), here)
+    uncut(facts)
+    known += ["n", *[f"p{j}" for j in range(PARITY)]]
+    x, y = _side(seats.filter("root <> major"), "x", *known), _side(seats, "y", *known)
+    once = (F.col("xid") < F.col("yid")) | (F.col("yroot") == F.col("ymajor"))
+    rest = x.join(y, apart & once & near("x", "y", percent))
+    merge(rest.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")))
+    for used in (seats, sketches, near_texts):
+        uncut(used)
+    return root
+
+
+def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, at) of every line to drop."""
+    lines = explode_lines(docs)
+    texts = cut(lines.groupBy("norm").agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.min("id").alias("id"), F.min("more").alias("more")))
+    firsts = cut(texts.drop("norm"))
+    most = (firsts.agg(F.sum("n")).first()[0] or 0) // HOT
+    root = links(texts, percent)
     if root is not None:
-        firsts = firsts.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        best = firsts.filter("root is not null").groupBy("root").agg(F.min("first").alias("best"))
-        firsts = firsts.join(best, "root").select("id", "best", "n", "first")
+        firsts = firsts.join(root.select(F.col("node").alias("first"), "root"), "first", "left").withColumn("best", F.coalesce("root", "first"))
     else:
         firsts = firsts.withColumn("best", F.col("first"))
     # Lines that occur once and lead their component need no second look.
-    loose = firsts.filter("n > 1 or first <> best").select("id", "best")
-    out = keys.join(loose, "id").filter("ord is null or ord <> best")
-    return out.filter("best is not null").select("doc_id", "at")
-
-
-def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text, ...) with the column `gone`: positions of the lines that go (null for none)."""
-    gone = repeats(docs, percent).groupBy("doc_id").agg(F.collect_set("at").alias("gone")).withColumnRenamed("doc_id", "_id")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    loose = cut(firsts.filter("n > 1 or first <> best").select("id", "more", "n", "best"))
+    keys = lines.select("doc_id", "at", "ord", "id", "more")
+    # At most HOT lines are more than a HOT-th of all lines each.
+    hot = F.broadcast(loose.filter(F.col("n") > most).select("id", "more", F.col("best").alias("hot")))
+    keys = keys.join(hot, ["id", "more"], "left")
+    out = keys.filter("hot is null").drop("hot").join(loose.filter(F.col("n") <= most).drop("n"), ["id", "more"])
+    out = out.unionByName(keys.filter("hot is not null").withColumnRenamed("hot", "best"))
+    return out.filter("ord <> best").select("doc_id", "at")
 
 
-def kept_text() -> Column:
-    """The text without the lines in `gone`."""
-    lines = F.split("text", "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone", s["i"]))
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
+def _parted(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Column, Column]:
+    """docs(doc_id, text, ...) with one more column; what it says: positions of the lines that go (null for
+    none), and the text without them."""
+    key, gone = fresh(docs, "doc"), fresh(docs, "gone")
+    lost = repeats(docs, percent).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("at").alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return docs.join(lost, F.col("doc_id") == F.col(key), "left").drop(key), F.col(gone), F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: lines, lines dropped, and the digest of what stays."""
-    out = dedup(docs).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept_text().alias("kept"))
-    n = F.when(F.col("n_removed") < 0, F.lit(0).cast("long")).otherwise(F.col("n_removed"))
-    return out.select("doc_id", "n_lines", n.alias("n_removed"), F.octet_length(F.coalesce("kept", F.lit(""))).cast("long").alias("kept_bytes"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    parted, gone, kept = _parted(docs.select(docs["doc_id"], docs["text"]))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_removed = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")
+    out = parted.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce(kept, F.lit("")).alias("kept"))
+    return out.select("doc_id", "n_lines", "n_removed", F.octet_length("kept").cast("long").alias("kept_bytes"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines cut out; documents that had lines and keep none go."""
-    cols = docs.columns
-    out = dedup(docs).withColumn("_kept", kept_text())
-    out = out.filter(F.col("gone").isNull() | (F.trim("_kept", F.lit(WHITE)) != ""))
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])
+    parted, gone, kept = _parted(docs)
+    left = fresh(parted, "kept")
+    out = parted.withColumn(left, kept).filter(gone.isNull() | (F.trim(F.col(left), F.lit(WHITE)) != ""))
+    new = {"text": F.col(left), "n_chars": F.length(left).cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
