@@ -6,11 +6,13 @@ classes with the same prefix and size are one group, which posts its prefix toke
 share a token and have fitting sizes are candidate pairs; pairs are expanded to members and verified
 exactly on whole sets.
 
-Posting lists of a few groups emit all their pairs; longer ones never do. In each of a few rounds a list pairs every member with
-one leader (another one each round) unless both are already connected; what is left are pairs across
-components, which are all checked. So no connection is lost and only pairs that can change a
-component are looked at. A parity sketch of at least one bit an element, whose distance never exceeds
-the sets' difference, discards pairs before whole sets meet.
+A shared token counts only where its places in both rare-first orders leave room for the overlap that the
+two sizes need. In each of a few rounds every list pairs its groups with one leader of fitting size
+(another one each round), unless both are already connected; what is left are group pairs across
+components, which are all looked at. So no connection is lost, and near copies below the threshold, whose
+own rare tokens come first, do not meet. A group of several classes is never counted as connected, and
+its classes meet in a list of their own. A parity sketch of at least one bit an element, whose distance
+never exceeds the sets' difference, discards pairs before whole sets meet.
 
 Null, empty and blank texts have empty sets and stay alone. Equal rows share their set; rows of one
 doc_id with different texts are connected through that id.
@@ -29,12 +31,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, byte_rows, col, cut, mix, nonspace_bytes, pieces, span_hash, uncut, word_spans
 from .graph import components
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
 #: Least size of a sketch in longs.
 SKETCH = 8
-ROUNDS = 2
-#: Posting lists up to this length give all their pairs at once.
-SHORT = 8
+ROUNDS = 3
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -75,7 +75,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -83,9 +83,9 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 def _meta(docs: DataFrame, k: int, percent: int, frequency: np.ndarray) -> DataFrame:
     """Per row: set size, set digest (two longs), prefix digest, prefix and parity sketch. Sketches have
-    SKETCH longs times a power of two, so that halves fold onto each other."""
+    SKETCH longs times a power of two, so that halves fold onto each other; `small` is folded to SKETCH longs."""
     ranks = docs.sparkSession.sparkContext.broadcast(frequency)
-    names = ["doc_id", "n", "d1", "d2", "g", "prefix", "sketch"]
+    names = ["doc_id", "n", "d1", "d2", "g", "prefix", "sketch", "small"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = ranks.value
@@ -100,13 +100,14 @@ def _meta(docs: DataFrame, k: int, percent: int, frequency: np.ndarray) -> DataF
                 g = np.frombuffer(hashlib.blake2b(prefix.tobytes(), digest_size=8).digest(), np.int64)
                 bits = 64 * SKETCH << max(0, (n - 1).bit_length() - (64 * SKETCH).bit_length() + 1)
                 odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                rows.append((n, d[0], d[1], g[0], prefix.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                rows.append((n, d[0], d[1], g[0], prefix.view(np.int64), sketch, np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH))))
             c = list(zip(*rows))
             longs = pa.list_(pa.int64())
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), longs, longs]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), longs, longs, longs]
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id").cast(pa.int64()), *map(pa.array, c, kinds)], names)
 
-    schema = "doc_id long, n int, d1 long, d2 long, g long, prefix array<long>, sketch array<long>"
+    schema = "doc_id long, n int, d1 long, d2 long, g long, prefix array<long>, sketch array<long>, small array<long>"
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, schema)
 
 
@@ -139,15 +140,27 @@ def cluster(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("g").alias("g"), F.min("n").alias("n")))
     groups = cut(classes.groupBy("g", "n").agg(F.min("node").alias("leader"), F.count("*").alias("members")))
     heads = full.select(F.col("doc_id").alias("leader"), "g", "n", "prefix").join(groups, ["leader", "g", "n"]).dropDuplicates(["leader", "g", "n"])
-    post = heads.select(F.explode("prefix").alias("token"), "leader", "n")
-    lively = post.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    shared = post.join(lively, "token")
-    # Group postings expand to members; members of one group also meet in a list of their own.
-    crowd = groups.filter("members > 1")
-    members = classes.join(crowd.select("g", "n", "leader"), ["g", "n"]).select("leader", "node", "g", "n")
-    seats = shared.join(members.select("leader", "node"), "leader", "left").select("token", F.coalesce("node", "leader").alias("node"), "n")
-    seats = cut(seats.unionByName(members.select(F.col("g").alias("token"), "node", "n")))
-    sizes = seats.groupBy("token").agg(F.count("*").alias("c"))
+    post = heads.select(F.posexplode("prefix").alias("at", "token"), F.col("leader").alias("node"), "n", (F.col("members") > 1).alias("many"))
+    # How many tokens a set has from the shared one on.
+    post = post.select("token", "node", "n", (F.col("n") - F.col("at")).alias("room"), "many")
+    lively = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
+    members = cut(classes.join(groups.filter("members > 1").select("g", "n", "leader"), ["g", "n"]).select("leader", "node", "g", "n"))
+    own = members.select(F.col("g").alias("token"), "node", "n", F.col("n").alias("room"), F.lit(False).alias("many"))
+    level = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
+    seats = cut(post.join(lively, "token").unionByName(own).withColumn("level", level))
+
+    def may_link(a: str, b: str):
+        """Whether two seats of a list leave room for the threshold; true at the first token two linked sets share."""
+        n = F.col(a + "n") + F.col(b + "n")
+        return _fits(a + "n", b + "n", percent) & (F.least(a + "room", b + "room") * (100 + percent) >= n * percent)
+
+    def expanded(pairs: DataFrame) -> DataFrame:
+        """Group pairs (a, a_many, b, b_many) to the pairs of their classes."""
+        for x in ("a", "b"):
+            inside = members.select(F.col("leader").alias(x), F.lit(True).alias(f"{x}_many"), F.col("node").alias(f"{x}_node"))
+            pairs = pairs.join(inside, [x, f"{x}_many"], "left").withColumn(x, F.coalesce(f"{x}_node", x)).drop(f"{x}_node")
+        return pairs.filter("a <> b").select("a", "b")
+
     def near(pairs: DataFrame) -> DataFrame:
         """The distinct pairs (a, b) whose sizes and sketches allow the threshold."""
         p = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -188,38 +201,44 @@ def cluster(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         root = components(edges)
         return True
 
-    # Short lists give all their pairs; their number is within SHORT times the list's length.
-    short = seats.join(sizes.filter(F.col("c") <= SHORT).select("token"), "token")
-    x, y = short.alias("x"), short.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & fits)
-    merge(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-
-    level = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-    long = cut(seats.join(sizes.filter(F.col("c") > SHORT).select("token"), "token").withColumn("level", level))
-
     def seated() -> DataFrame:
         if root is None:
-            return long.withColumn("root", F.col("node"))
-        return long.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            return seats.withColumn("root", F.col("node"))
+        return seats.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def side(df: DataFrame, prefix: str, *cols: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(prefix + c) for c in cols])
 
+    apart = (F.col("xnode") != F.col("ynode")) & ((F.col("xroot") != F.col("yroot")) | F.col("xmany") | F.col("ymany"))
+    known = ["node", "n", "room", "root", "many"]
     for r in range(ROUNDS):
-        here = seated()
+        here = cut(seated())
         turn = F.xxhash64("node", F.lit(r))
-        lead = here.groupBy("token", "level").agg(F.min_by("node", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"))
+        lead = here.groupBy("token", "level").agg(*[F.min_by(c, turn).alias(f"y{c}") for c in known])
         # A list's leader also meets the next smaller level, whose sizes may fit.
-        up = here.select("token", "node", "root", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
-        pairs = up.join(lead, ["token", "level"]).filter("root <> lead_root")
-        if not merge(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b"))):
-            break
+        up = here.select("token", *[F.col(c).alias(f"x{c}") for c in known], F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+        pairs = up.join(lead, ["token", "level"]).filter(apart & may_link("x", "y"))
+        merge(expanded(pairs.select(F.col("xnode").alias("a"), F.col("xmany").alias("a_many"), F.col("ynode").alias("b"), F.col("ymany").alias("b_many"))))
+        uncut(here)
 
     # What is left: pairs across components. One side is outside its list's largest component.
     here = cut(seated())
-    shares = here.groupBy("token", "root").agg(F.count("*").alias("c"))
-    major = cut(shares.groupBy("token").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).filter("roots > 1"))
-    minor = here.join(major, "token").filter("root <> major").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-    rest = minor.join(here.join(major.select("token"), "token", "left_semi"), "token").filter("xr <> root").filter(_fits("xn", "n", percent))
-    merge(rest.select(F.col("x").alias("a"), F.col("node").alias("b")))
+    shares = here.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("many").alias("many"))
+    major = shares.groupBy("token").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots"), F.max("many").alias("some")).filter("roots > 1 or some").select("token", "major")
+    listed = cut(here.join(major, "token").withColumn("minor", F.col("many") | (F.col("root") != F.col("major"))), here)
+    some = classes.join(listed.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "d1", "d2")
+    smalls = full.join(some, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "small")
+    # A group's sketch is its leader's, which says nothing of the other classes.
+    listed = cut(listed.join(smalls, "node").withColumn("small", F.when(~F.col("many"), F.col("small"))), listed)
+    known += ["small"]
+    x, y = side(listed.filter("minor"), "x", "token", *known), side(listed, "y", "token", "minor", *known)
+    once = ~F.col("yminor") | (F.col("xnode") < F.col("ynode"))
+    distance = sum((F.bit_count(F.col("xsmall")[i].bitwiseXOR(F.col("ysmall")[i])) for i in range(SKETCH)), F.lit(0))
+    close = F.coalesce(distance * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent), F.lit(True))
+    rest = x.join(y, (F.col("xtoken") == F.col("ytoken")) & apart & once & may_link("x", "y") & close)
+    merge(expanded(rest.select(F.col("xnode").alias("a"), F.col("xmany").alias("a_many"), F.col("ynode").alias("b"), F.col("ymany").alias("b_many"))))
+    for used in (seats, listed, groups, members):
+        uncut(used)
 
     named = classes.select("d1", "d2", F.col("node").alias("component_id"))
     if root is not None:

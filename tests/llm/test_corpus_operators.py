@@ -193,6 +193,49 @@ def test_jaccard_join_against_all_pairs(spark, docs, empty):
     assert jaccard_join.cluster(empty).count() == 0
 
 
+def test_jaccard_join_of_near_copies_below_the_threshold(spark, monkeypatch):
+    """Pairs that are looked at grow in proportion to a family of near copies, most of which do not link."""
+    base, seen = words(100, 77, 10**6).split(), {}
+    for m in (100, 200, 400):
+        r = random.Random(m)
+        rows = {}
+        for i in range(m):
+            w = list(base)
+            for at in r.sample(range(100), 2):
+                w[at] = f"own{i}at{at}"
+            rows[i] = " ".join(w)
+        made, keep = [], jaccard_join.cut
+
+        def counting(df, drop=None):
+            out = keep(df, drop)
+            if df.columns == ["a", "b"]:
+                made.append(out.count())
+            return out
+
+        monkeypatch.setattr(jaccard_join, "cut", counting)
+        df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.cluster(df, 3, 90).collect()}
+        monkeypatch.setattr(jaccard_join, "cut", keep)
+        assert got == brute_jaccard(rows, 3, 90)
+        seen[m] = sum(made)
+        print(m, seen[m])
+    assert seen[400] <= 12 * 400
+
+
+def test_jaccard_join_of_groups_with_one_prefix(spark):
+    """Sets that differ only in their commonest shingles share prefix and size."""
+    r = random.Random(5)
+    common = [f"c{i} d{i} e{i}" for i in range(40)]
+    rows = {i: " ".join(r.sample(common, 3)) for i in range(60)}
+    for i in range(100, 130):
+        own = " ".join(f"rare{i % 3}n{j}" for j in range(45))
+        rows[i] = own + " " + " ".join(r.sample(common, 2))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for k, percent in ((3, 90), (3, 80), (1, 90)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.cluster(df, k, percent).collect()}
+        assert got == brute_jaccard(rows, k, percent)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (3, 7), (8, 6), (6, 5)], "a long, b long")
     assert {r.node: r.root for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 4: 4, 5: 4, 6: 4, 8: 4}
