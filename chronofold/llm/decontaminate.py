@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_bytes, ascii_lower, byte_rows, col, cut, pieces, span_hash, word_spans
+from .common import alnum_bytes, ascii_lower, byte_rows, col, cut, fresh, pieces, span_hash, word_spans
 
 WINDOW = 13
 SAMPLE = 8
@@ -274,19 +274,20 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents (5 % of words hit or more); hit spans of the others are cut out."""
-    hits = find(docs, benchmark).filter(F.size("spans") > 0).select("doc_id", "row", "n_words", "spans")
-    # Written first: few rows as a rule, and a join of known size then needs no shuffle of the texts.
-    hits = cut(hits.dropDuplicates(["doc_id", "row"]))
+    hits = find(docs, benchmark).filter(F.size("spans") > 0)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
-    cols = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64("text")).withColumnRenamed("doc_id", "_id")
-    joined = keyed.join(hits.withColumn("_hit", n_hit), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col("row")), "left")
-    kept = joined.filter(F.col("_hit").isNull() | (20 * F.col("_hit") < F.col("n_words")))
+    own = {c: fresh(docs, f"hit_{c}") for c in ("doc_id", "row", "n_words", "spans", "n_hit", "key")}
+    hits = hits.withColumn("n_hit", n_hit).select(*[F.col(c).alias(own[c]) for c in ("doc_id", "row", "n_words", "spans", "n_hit")])
+    # Written first: few rows as a rule, and a join of known size then needs no shuffle of the texts.
+    hits = cut(hits.dropDuplicates([own["doc_id"], own["row"]]))
+    keyed = docs.withColumn(own["key"], F.xxhash64("text"))
+    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col(own["doc_id"])) & (F.col(own["key"]) == F.col(own["row"])), "left")
+    kept = joined.filter(F.col(own["n_hit"]).isNull() | (20 * F.col(own["n_hit"]) < F.col(own["n_words"])))
     cut_out = F.expr(
-        "decode(aggregate(spans, named_struct('at', 0L, 'out', cast('' as binary)), "
+        f"decode(aggregate({own['spans']}, named_struct('at', 0L, 'out', cast('' as binary)), "
         "(acc, x) -> named_struct('at', x.end, 'out', concat(acc.out, substring(cast(text as binary), int(acc.at + 1), int(x.start - acc.at)))), "
         "acc -> concat(acc.out, substring(cast(text as binary), int(acc.at + 1)))), 'UTF-8')"
     )
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut_out)
-    new = {"doc_id": F.col("_id"), "text": text, "n_chars": F.length(text).cast("long")}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])
+    text = F.when(F.col(own["n_hit"]).isNull(), F.col("text")).otherwise(cut_out)
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
