@@ -49,7 +49,7 @@ def tiling_problems(versions: DataFrame, node: str = "node_id", scope: str = "sc
     """(node, problem, at): empty windows, successors of a scope that don't start at their predecessor's end,
     and gaps in the union of a node's branches."""
     empty = versions.filter(F.col(end) <= F.col(start)).select(node, F.lit("empty").alias("problem"), F.col(start).alias("at"))
-    w = Window.partitionBy(node, scope).orderBy(start)
+    w = Window.partitionBy(node, scope).orderBy(start, F.col(end).asc_nulls_last())
     broken = versions.withColumn("_end", F.lag(end).over(w)).withColumn("_n", F.row_number().over(w))
     broken = broken.filter((F.col("_n") > 1) & (F.col("_end").isNull() | (F.col("_end") != F.col(start)))).select(node, F.lit("broken").alias("problem"), F.col(start).alias("at"))
     islands = coalesce_intervals(versions.select(node, start, end), [node], start, end)

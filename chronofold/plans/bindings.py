@@ -20,7 +20,7 @@ ARTIFACTS = """
 SELECT concat('doc', user_id % 20) AS doc_key, max(CASE (user_id % 20) % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'restricted' END) AS audience
 FROM events GROUP BY 1
 """
-EDGES = "SELECT DISTINCT concat('p', l_partkey % 200) AS src, concat('s', l_suppkey % 100) AS dst FROM lineitem WHERE l_quantity > 45"
+EDGES = "SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem"
 #: Operators on parts: seq makes the id unique within a part, as no column does.
 OPS = """
 SELECT concat('o', l_partkey, '.', seq) AS op_id, concat('p', l_partkey) AS node_id,

@@ -155,7 +155,7 @@ def t02(spark, d):
     return w.select("op_id", "window_start", "window_end", F.col("closer").isNotNull().alias("closed"))
 
 
-_FOLD = f"""{OPS_WITH}, base AS (SELECT concat('p', p_partkey) AS node_id, DATE '1995-01-01' AS s FROM part WHERE p_partkey % 4 = 1),
+_FOLD = f"""{OPS_WITH}, base AS (SELECT concat('p', p_partkey) AS node_id, DATE '1995-01-01' AS s FROM part),
 e AS (SELECT o.*, greatest(valid_from, s) AS wa, valid_to AS wb FROM o JOIN base USING (node_id) WHERE valid_to IS NULL OR greatest(valid_from, s) < valid_to),
 pts AS (SELECT node_id, s AS a FROM base UNION SELECT node_id, wa FROM e UNION SELECT node_id, wb FROM e WHERE wb IS NOT NULL),
 seg AS (SELECT node_id, a, lead(a) OVER (PARTITION BY node_id ORDER BY a) AS b FROM pts),
@@ -170,7 +170,7 @@ bad AS (SELECT DISTINCT node_id FROM agg WHERE issuers > 1)"""
 
 def _fold(spark: SparkSession, d: str) -> fo.Fold:
     """Parts are nodes, line items are operators, supplier nations are issuers with rank nation % 5."""
-    o = bound(spark, d, OPS).filter("cast(substr(node_id, 2) as bigint) % 4 = 1")
+    o = bound(spark, d, OPS)
     none = F.lit(None).cast("string")
     ops = o.select(
         "op_id", "kind", F.concat(F.lit("n"), "issuer").alias("source_artifact"), "seq", F.col("node_id").alias("target_node"), none.alias("target_op"), none.alias("target_norm"),
@@ -182,7 +182,7 @@ def _fold(spark: SparkSession, d: str) -> fo.Fold:
     source = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("artifact_id"), F.concat(F.lit("n"), "n_nationkey").alias("doc_key"), F.lit("op").alias("doc_type"), F.concat(F.lit("i"), "n_nationkey").alias("issuer"), date.alias("issued_date"), date.alias("effective_date"), F.lit(False).alias("is_oracle"))
     home = spark.createDataFrame([("home", "home", "home", "home")], "artifact_id string, doc_key string, doc_type string, issuer string").select("*", date.alias("issued_date"), date.alias("effective_date"), F.lit(False).alias("is_oracle"))
     rules = nation.select(F.lit(None).cast("string").alias("doc_type"), F.concat(F.lit("i"), "n_nationkey").alias("issuer"), (F.col("n_nationkey") % 5).alias("rank"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    nodes = _t(spark, d, "part").filter("p_partkey % 4 = 1").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.lit("home").alias("artifact_id"), none.alias("heading"), none.alias("body"))
+    nodes = _t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.lit("home").alias("artifact_id"), none.alias("heading"), none.alias("body"))
     return fo.fold(nodes, ops, source.unionByName(home), rules)
 
 
@@ -207,11 +207,11 @@ def t13(spark, d):
     return tp.coalesce_intervals(bound(spark, d, VERSIONS).filter("status = 'active'"), ["node_id"])
 
 
-@query("t14_tiling", f"""WITH v AS ({VERSIONS}), s AS (SELECT node_id, valid_from, lag(valid_to) OVER w AS pe, row_number() OVER w AS k FROM (SELECT DISTINCT node_id, scope_hash, valid_from, valid_to FROM v WHERE valid_to > valid_from) WINDOW w AS (PARTITION BY node_id, scope_hash ORDER BY valid_from))
-SELECT node_id, 'empty' AS problem, valid_from AS since FROM v WHERE valid_to <= valid_from AND FALSE UNION ALL SELECT node_id, 'broken', valid_from FROM s WHERE k > 1 AND (pe IS NULL OR pe <> valid_from)
-UNION ALL SELECT node_id, 'gap', valid_from FROM (SELECT node_id, valid_from, max(valid_to) OVER (PARTITION BY node_id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT node_id, valid_from, valid_to FROM v WHERE valid_to > valid_from)) WHERE reach < valid_from""")
+@query("t14_tiling", f"""WITH v AS (SELECT DISTINCT node_id, scope_hash, valid_from, valid_to FROM ({VERSIONS})), s AS (SELECT node_id, valid_from, lag(valid_to) OVER w AS pe, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY node_id, scope_hash ORDER BY valid_from, valid_to NULLS LAST))
+SELECT node_id, 'empty' AS problem, valid_from AS since FROM v WHERE valid_to <= valid_from UNION ALL SELECT node_id, 'broken', valid_from FROM s WHERE k > 1 AND (pe IS NULL OR pe <> valid_from)
+UNION ALL SELECT node_id, 'gap', valid_from FROM (SELECT node_id, valid_from, max(coalesce(valid_to, DATE '9999-01-01')) OVER (PARTITION BY node_id ORDER BY valid_from, valid_to NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v) WHERE reach < valid_from""")
 def t14(spark, d):
-    v = bound(spark, d, VERSIONS).filter("valid_to > valid_from").select("node_id", "scope_hash", "valid_from", "valid_to").distinct()
+    v = bound(spark, d, VERSIONS).select("node_id", "scope_hash", "valid_from", "valid_to").distinct()
     return tp.tiling_problems(v).withColumnRenamed("at", "since")
 
 
@@ -312,11 +312,21 @@ def j26(spark, d):
     return o.filter("kind = 'suspend'").select("node_id").distinct().join(o.filter("kind = 'repeal'").select("node_id").distinct(), "node_id", "left_anti")
 
 
-@query("v25_route", f"{OPS_WITH}, x AS (SELECT op_id, kind, CASE WHEN issuer % 4 = 0 THEN NULL ELSE issuer / 25.0 END AS confidence, rnk = 0 AS definitional FROM o) SELECT op_id, CASE WHEN definitional OR coalesce(confidence, -1) < 0.8 OR kind = 'repeal' THEN 'per_op' ELSE 'batch' END AS queue, concat_ws(',', CASE WHEN definitional THEN 'definitional' END, CASE WHEN coalesce(confidence, -1) < 0.8 THEN 'low_confidence' END, CASE WHEN kind = 'repeal' THEN 'kind' END) AS reasons FROM x")
+@query("v25_route", f"""{OPS_WITH}, x AS (SELECT op_id, rnk = 0 AS def, CASE WHEN kind = 'repeal' AND seq % 5 = 0 THEN 'norm_decl' ELSE kind END AS kind,
+  list_concat(CASE WHEN issuer % 6 = 0 THEN ['ambiguous'] ELSE [] END, CASE WHEN issuer % 4 = 0 THEN ['divergent_effective_date'] ELSE [] END) AS flags,
+  seq % 3 <> 0 AS dated, CASE WHEN valid_to IS NOT NULL THEN issuer % 5 <> 1 END AS agree, seq % 7 <> 0 AS uniq FROM o),
+y AS (SELECT *, dated AND NOT list_contains(flags, 'divergent_effective_date') AS direct FROM x),
+z AS (SELECT *, concat_ws('|', CASE WHEN def THEN 'risk=definitional (inbound dinh_nghia)' END, CASE WHEN kind = 'norm_decl' THEN 'kind=norm_decl' END, CASE WHEN len(flags) > 0 THEN concat('cờ đỏ: ', array_to_string(flags, ',')) END, CASE WHEN NOT direct THEN 'ngày hiệu lực cần phân loại ngữ nghĩa' END) AS first,
+  concat_ws('|', CASE WHEN agree IS NOT TRUE THEN 'rule↔LLM chưa khớp' END, CASE WHEN NOT uniq THEN 'target chưa resolve duy nhất' END) AS second FROM y)
+SELECT op_id, CASE WHEN first <> '' OR second <> '' THEN 'per_op' ELSE 'batch' END AS queue, CASE WHEN def THEN 'definitional' ELSE 'prescriptive' END AS risk_class, direct AS date_direct, CASE WHEN first <> '' THEN first ELSE second END AS reasons FROM z""")
 def v25(spark, d):
-    o = bound(spark, d, OPS).withColumn("confidence", F.when(F.col("issuer") % 4 != 0, F.col("issuer") / 25.0)).withColumn("definitional", F.col("rnk") == 0)
-    r = o.select("op_id", gv.route(F.col("kind"), F.col("confidence"), F.col("definitional"), F.lit(False)).alias("r"))
-    return r.select("op_id", "r.queue", F.array_join("r.reasons", ",").alias("reasons"))
+    o = bound(spark, d, OPS)
+    flags = F.array_compact(F.array(F.when(F.col("issuer") % 6 == 0, "ambiguous"), F.when(F.col("issuer") % 4 == 0, gv.DIVERGENT)))
+    kind = F.when((F.col("kind") == "repeal") & (F.col("seq") % 5 == 0), "norm_decl").otherwise(F.col("kind"))
+    effective = F.when(F.col("seq") % 3 != 0, F.col("valid_from"))
+    agree = F.when(F.col("valid_to").isNotNull(), F.col("issuer") % 5 != 1)
+    r = o.select("op_id", gv.route(kind, F.col("rnk") == 0, flags, F.col("valid_from"), effective, agree, F.col("seq") % 7 != 0).alias("r"))
+    return r.select("op_id", "r.queue", "r.risk_class", "r.date_direct", F.array_join("r.reasons", "|").alias("reasons"))
 
 
 @query("m13_spot_check", "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM orders) WHERE n <= greatest(1, ceil(round(c * 0.1, 9)))")
@@ -335,16 +345,28 @@ def v32(spark, d):
     return gv.current_state(e, "user_id", "at", "state")
 
 
-@query("v15_tier", "WITH f AS (SELECT event_id, event_id % 13 <> 0 AS s, event_id % 7 <> 0 AS c, event_id % 5 <> 0 AS v, event_id % 4 = 0 AS k, event_id % 3 = 0 AS a, value > 90 AS t FROM events) SELECT event_id, CASE WHEN NOT s OR NOT c OR NOT v THEN 'D' WHEN k THEN 'C' WHEN a OR t THEN 'B' ELSE 'A' END AS tier FROM f")
+#: Bits of event_id are the inputs, so every combination occurs where there are enough events.
+@query("v15_tier", """WITH i AS (SELECT event_id, event_id % 2 = 0 AS fl, event_id // 2 % 2 = 0 AS co, event_id // 4 % 2 = 0 AS cl, event_id // 8 % 2 = 1 AS re, event_id // 16 % 2 = 0 AS ve, event_id // 32 % 2 = 0 AS jp,
+  CASE event_id % 3 WHEN 0 THEN 'calibrated' WHEN 1 THEN 'uncalibrated' ELSE 'off' END AS ju,
+  list_concat(CASE WHEN event_id // 64 % 2 = 1 THEN ['in_conflict'] ELSE [] END, CASE WHEN event_id // 128 % 2 = 1 THEN ['cohort_ambiguous'] ELSE [] END) AS fs FROM events),
+j AS (SELECT *, NOT (fl AND co AND cl) OR re AS d, ju <> 'calibrated' OR NOT jp AS cap FROM i)
+SELECT event_id, CASE WHEN d THEN 'D' WHEN NOT ve THEN 'C' WHEN cap OR len(fs) > 0 THEN 'B' ELSE 'A' END AS tier,
+  CASE WHEN d THEN concat_ws(',', CASE WHEN NOT fl THEN 'no_retrieval_floor' END, CASE WHEN NOT co THEN 'outside_coverage' END, CASE WHEN NOT cl THEN 'closure_incomplete' END, CASE WHEN re THEN 'composer_refusal' END)
+  WHEN NOT ve THEN 'hard_verifier_fail' ELSE array_to_string(list_concat(list_sort(fs), CASE WHEN ju <> 'calibrated' THEN [concat('judge_', ju)] WHEN NOT jp THEN ['judge_fail'] ELSE [] END), ',') END AS reasons,
+  NOT d AND ve AND cap AS judge_capped FROM j""")
 def v15(spark, d):
-    e, i = _t(spark, d, "events"), F.col("event_id")
-    return e.select("event_id", gv.decide_tier(i % 13 != 0, i % 7 != 0, i % 5 != 0, i % 4 == 0, i % 3 == 0, F.col("value") > 90).alias("tier"))
+    bit = lambda k: F.shiftright("event_id", k).bitwiseAND(F.lit(1)) == 1
+    flags = F.array_compact(F.array(F.when(bit(6), "in_conflict"), F.when(bit(7), "cohort_ambiguous")))
+    judge = F.element_at(F.array(*map(F.lit, ("calibrated", "uncalibrated", "off"))), (F.col("event_id") % 3 + 1).cast("int"))
+    t = gv.decide_tier(~bit(0), ~bit(1), ~bit(2), bit(3), ~bit(4), flags, judge, ~bit(5))
+    return _t(spark, d, "events").select("event_id", t.alias("t")).select("event_id", "t.tier", F.array_join("t.reasons", ",").alias("reasons"), "t.judge_capped")
 
 
-@query("v35_fork", "SELECT s_suppkey, CASE WHEN s_nationkey < 3 AND s_suppkey % 2 = 0 THEN 'internal_internal' WHEN s_nationkey < 3 OR s_suppkey % 2 = 0 THEN 'internal_external' ELSE 'external_external' END AS fork FROM supplier")
+@query("v35_fork", "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'advisory' WHEN s_nationkey < 3 AND s_suppkey % 2 = 0 THEN 'internal_internal' WHEN s_nationkey < 3 OR s_suppkey % 2 = 0 THEN 'internal_external' ELSE 'external_external' END AS fork FROM supplier")
 def v35(spark, d):
     s = _t(spark, d, "supplier")
-    return s.select("s_suppkey", gv.fork_for(F.when(F.col("s_nationkey") < 3, "SHB.x").otherwise("NHNN"), F.when(F.col("s_suppkey") % 2 == 0, "SHB").otherwise("SHBX")).alias("fork"))
+    a, b = F.when(F.col("s_nationkey") < 3, "home.x").otherwise("other"), F.when(F.col("s_suppkey") % 2 == 0, "home").otherwise("homes")
+    return s.select("s_suppkey", gv.fork_for(a, b, "home", F.col("s_suppkey") % 7 == 0).alias("fork"))
 
 
 @query("v37_ceilings", "WITH c AS (SELECT p_brand, min(p_retailprice) AS ceiling FROM part WHERE p_size <= 40 GROUP BY 1) SELECT p_brand AS category, concat('p', p_partkey) AS ref, p_retailprice AS rate, ceiling FROM part JOIN c USING (p_brand) WHERE p_size > 40 AND p_retailprice > ceiling")
@@ -366,11 +388,11 @@ def g04(spark, d):
     return gr.expand(bound(spark, d, EDGES), spark.createDataFrame([("p7",)], "node_id string"))
 
 
-@query("g05_where_used", f"WITH e AS (SELECT src, dst, CASE WHEN dst LIKE '%3' THEN concat('norm', substr(dst, 2)) END AS dst_norm FROM ({EDGES})), t AS (SELECT concat('op', s_suppkey) AS op_id, concat('s', s_suppkey) AS node_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier WHERE s_suppkey < 20), m AS (SELECT DISTINCT concat('norm', s_suppkey) AS norm_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier WHERE s_suppkey < 60) SELECT op_id, src FROM t JOIN e ON node_id = dst UNION SELECT op_id, src FROM t JOIN m USING (artifact_id) JOIN e ON norm_id = dst_norm")
+@query("g05_where_used", f"WITH e AS (SELECT src, dst, CASE WHEN dst LIKE '%3' THEN concat('norm', substr(dst, 2)) END AS dst_norm FROM ({EDGES})), t AS (SELECT concat('op', s_suppkey) AS op_id, concat('s', s_suppkey) AS node_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier), m AS (SELECT DISTINCT concat('norm', s_suppkey) AS norm_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier) SELECT op_id, src FROM t JOIN e ON node_id = dst UNION SELECT op_id, src FROM t JOIN m USING (artifact_id) JOIN e ON norm_id = dst_norm")
 def g05(spark, d):
     e = bound(spark, d, EDGES).withColumn("dst_norm", F.when(F.col("dst").endswith("3"), F.concat(F.lit("norm"), F.expr("substr(dst, 2)"))))
-    t = bound(spark, d, "SELECT concat('op', s_suppkey) AS op_id, concat('s', s_suppkey) AS node_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier WHERE s_suppkey < 20")
-    m = bound(spark, d, "SELECT DISTINCT concat('norm', s_suppkey) AS norm_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier WHERE s_suppkey < 60")
+    t = bound(spark, d, "SELECT concat('op', s_suppkey) AS op_id, concat('s', s_suppkey) AS node_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier")
+    m = bound(spark, d, "SELECT DISTINCT concat('norm', s_suppkey) AS norm_id, concat('a', s_suppkey % 7) AS artifact_id FROM supplier")
     return gr.where_used(e, t, m)
 
 
@@ -387,10 +409,10 @@ def g07(spark, d):
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
-@query("x10_tokens", f"WITH t AS (SELECT unnest({_TOK}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 50")
+@query("x10_tokens", f"WITH t AS (SELECT unnest({_TOK}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY 1")
 def x10(spark, d):
     t = _t(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("n")).filter("n > 50")
+    return t.groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("x27_digit_runs", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS runs FROM documents WHERE regexp_matches(text, '[0-9]')")
@@ -398,10 +420,10 @@ def x27(spark, d):
     return _t(spark, d, "documents").filter(F.col("text").rlike("[0-9]")).select("doc_id", F.array_sort(tx.digit_runs(F.col("text"))).alias("runs"))
 
 
-@query("x02_strip_html", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|br|li|ul|ol|tr|td|h[1-6])[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages WHERE regexp_matches(html, '(?i)<(?:p|div|br|li|h[1-6])[ />]')")
+@query("x02_strip_html", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|br|li|ul|ol|tr|td|h[1-6])[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
 def x02(spark, d):
     p = _t(spark, d, "pages")
-    return p.filter(F.col("html").rlike(r"(?i)<(?:p|div|br|li|h[1-6])[ />]")).select("page_id", F.md5(tx.squeeze(tx.strip_html(F.col("html"))).cast("binary")).alias("digest"))
+    return p.select("page_id", F.md5(tx.squeeze(tx.strip_html(F.col("html"))).cast("binary")).alias("digest"))
 
 
 @query("x32_cut_words", "WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE concat(regexp_extract(t, '^(.{0,80})(?:\\s|$)', 1), '…') END AS quote FROM s")
