@@ -67,9 +67,11 @@ _SKETCH = [f"s{i}" for i in range(0, SIDE * SIDE, _PACK)]
 
 
 def shingles(line: Column) -> Column:
-    """The distinct shingles of a line; one at least."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
-    return F.when(F.length(line) >= GRAM, F.array_distinct(found)).otherwise(F.array(line))
+    """The hashes of a line's distinct shingles, as in grams(); one at least."""
+    places = F.sequence(F.lit(0), F.greatest(F.length(line) - GRAM, F.lit(0)))
+    # The units are bound by a lambda of their own, so that a line is encoded once and not for each place.
+    found = F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(places, lambda at: F.xxhash64(F.substring(u, 4 * at + 1, F.lit(4 * GRAM)))))
+    return F.array_distinct(F.element_at(found, 1))
 
 
 def grams(lines: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def agreement(a: str, b: str) -> Column:
 def parities(lines: DataFrame) -> DataFrame:
     """lines(id, norm) to (id, n, parity columns): the number of distinct shingles, and for each of 64 * PARITY
     buckets whether an odd number of them is in it."""
-    distinct = lines.select("id", F.explode(shingles(F.col("norm"))).alias("g")).select("id", F.xxhash64("g").alias("h"))
+    distinct = lines.select("id", F.explode(shingles(F.col("norm"))).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1))
     return distinct.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)])
