@@ -9,7 +9,7 @@ WORD = r"[\p{L}\p{N}_]+"
 # Address units and their printed names.
 UNITS = {"dieu": "Điều", "khoan": "khoản", "diem": "điểm", "tiet": "tiết", "phuluc": "Phụ lục"}
 # The Vietnamese alphabet of point labels.
-LETTERS = "abcdđeghiklmnopqrstuvxy"
+LETTERS = "aăâbcdđeêghiklmnoôơpqrstuưvxy"
 
 
 def squeeze(c: Column) -> Column:
@@ -83,6 +83,6 @@ def rate(c: Column) -> Column:
 
 
 def next_letter(c: Column) -> Column:
-    """Successor in the alphabet of point labels; null after the last."""
-    at = F.instr(F.lit(LETTERS), c)
+    """Successor of a label's first letter in the alphabet of point labels; null after the last."""
+    at = F.instr(F.lit(LETTERS), F.substring(c, 1, 1))
     return F.when((at > 0) & (at < len(LETTERS)), F.substring(F.lit(LETTERS), at + 1, 1))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scope as sc
 from ..functions import temporal as tp
@@ -288,11 +287,6 @@ def a15(spark, d):
     return gv.cohen_kappa(_t(spark, d, "labels"), "quality", "toxic")
 
 
-@query("a19_branch_groups", f"WITH v AS ({VERSIONS}) SELECT node_id, count(DISTINCT scope_hash) AS branches FROM v WHERE {VALID} GROUP BY node_id HAVING count(DISTINCT scope_hash) > 1")
-def a19(spark, d):
-    return bound(spark, d, VERSIONS).filter(tp.valid_at(AT)).groupBy("node_id").agg(F.count_distinct("scope_hash").alias("branches")).filter("branches > 1")
-
-
 @query("a21_distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'O') DESC, o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
 def a21(spark, d):
     return sn.latest_by(_t(spark, d, "orders"), ["o_custkey"], (F.col("o_orderstatus") == "O").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
@@ -306,12 +300,6 @@ def j05(spark, d):
     return o.join(n, F.col("issuer") == F.col("n_nationkey"), "left").join(p, "node_id", "left").select("op_id", "issuer_name", "target")
 
 
-@query("j26_guards", f"{OPS_WITH} SELECT DISTINCT node_id FROM o WHERE kind = 'suspend' AND node_id NOT IN (SELECT node_id FROM o WHERE kind = 'repeal')")
-def j26(spark, d):
-    o = bound(spark, d, OPS)
-    return o.filter("kind = 'suspend'").select("node_id").distinct().join(o.filter("kind = 'repeal'").select("node_id").distinct(), "node_id", "left_anti")
-
-
 @query("v25_route", f"""{OPS_WITH}, x AS (SELECT op_id, rnk = 0 AS def, CASE WHEN kind = 'repeal' AND seq % 5 = 0 THEN 'norm_decl' ELSE kind END AS kind,
   list_concat(CASE WHEN issuer % 6 = 0 THEN ['ambiguous'] ELSE [] END, CASE WHEN issuer % 4 = 0 THEN ['divergent_effective_date'] ELSE [] END) AS flags,
   seq % 3 <> 0 AS dated, CASE WHEN valid_to IS NOT NULL THEN issuer % 5 <> 1 END AS agree, seq % 7 <> 0 AS uniq FROM o),
@@ -431,12 +419,6 @@ def x32(spark, d):
     return _t(spark, d, "documents").select("doc_id", tx.cut_words(F.col("text"), 80).alias("quote"))
 
 
-@query("w13_repeated_turns", "SELECT conv_id, turn FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) WHERE was = role")
-def w13(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return _t(spark, d, "conversations").withColumn("was", F.lag("role").over(w)).filter("was = role").select("conv_id", "turn")
-
-
 def _bm25(spark: SparkSession, d: str, top: int | None) -> DataFrame:
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("key"), tx.tokens(F.col("text")).alias("tokens"))
     q = spark.createDataFrame([("q1", w) for w in ("idiot", "erer", "thing", "the")] + [("q2", w) for w in ("license", "mit", "de")], "query string, term string")
