@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import squeeze
 
@@ -36,13 +37,13 @@ _SLASH = r"ngày\s+([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 _LIMIT = r"(?iu)(?:tối\s*đa|không\s*vượt\s*quá)[^0-9%]{0,80}?([0-9]+(?:[.,][0-9]+)?)\s*%\s*/\s*năm"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(c: pd.Series) -> pd.Series:
     """Composed form of a text; Spark has no function for it."""
     return c.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _bare(c: pd.Series) -> pd.Series:
     return c.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)))
 
