@@ -156,14 +156,15 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
         """Add the links of the pairs (a, b) of ids, whose sketches agree, that meet the threshold."""
         nonlocal edges, root
         pairs = cut(pairs.select("a", "b").distinct())
-        some = near_texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
-        sets = cut(some.select("id", "first", shingles(F.col("norm")).alias("set")))
-        x, y = sets.select(F.col("id").alias("a"), F.col("first").alias("x"), F.col("set").alias("xs")), sets.select(F.col("id").alias("b"), F.col("first").alias("y"), F.col("set").alias("ys"))
-        both = pairs.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("xs", "ys")))
-        new = cut(both.filter((100 + percent) * F.col("same") >= percent * (F.size("xs") + F.size("ys"))).select(F.col("x").alias("a"), F.col("y").alias("b")), sets)
-        uncut(pairs)
+        # Texts meet, not sets: a set is many times its text, and would be shuffled and sorted with each pair.
+        x, y = (near_texts.select(F.col("id").alias(i), F.col("first").alias(n), F.col("norm").alias(n + "t")) for i, n in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a").join(y, "b").select("x", "y", shingles(F.col("xt")).alias("xs"), shingles(F.col("yt")).alias("ys"))
+        same = F.size(F.array_intersect("xs", "ys"))
+        # Written with its verdict, so that no set is made once for the filter and again for a column.
+        verdicts = cut(both.select(F.col("x").alias("a"), F.col("y").alias("b"), ((100 + percent) * same >= percent * (F.size("xs") + F.size("ys"))).alias("ok")), pairs)
+        new = verdicts.filter("ok").select("a", "b")
         if not new.take(1):
-            uncut(new)
+            uncut(verdicts)
             return
         edges = new if edges is None else edges.unionByName(new)
         if root is not None:
