@@ -46,8 +46,6 @@ PARITY = 16
 ROUNDS = 2
 #: A line that has more than 1 / HOT of all occurrences is joined by broadcast; there are fewer than HOT.
 HOT = 1000
-#: Lists of up to so many line ids (16 MB) are broadcast.
-LISTED = 1_000_000
 #: doc_id * SHIFT + line number orders lines; decimal, so no id is too large.
 SHIFT = 1 << 31
 #: White space that may surround a line, all but the line feed.
@@ -145,10 +143,9 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     crowded = cut(crowded.select("band", "lead", "c"))
     seats = cut(keyed.join(crowded, "band"), crowded)
     at = ["id", "kind"]
-    # From here on only lines that share a band. A short list of them is broadcast, so that no text is shuffled.
-    some = cut(seats.select("id").distinct())
-    near_texts = cut(texts.join(F.broadcast(some) if some.count() <= LISTED else some, "id").select("id", "first", "norm"), some)
-    uncut(texts)
+    # From here on only lines that share a band.
+    some = seats.select("id").distinct()
+    near_texts = cut(texts.select("id", "first", "norm").join(some, "id", "left_semi"), texts)
     edges: DataFrame | None = None
     root: DataFrame | None = None
 
