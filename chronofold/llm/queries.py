@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, lang_id, license_scan, line_dedup, media_jpeg, packing, pii, suffix_dedup, toxicity
+from . import (
+    alignment, decontaminate, hard_negatives, jaccard_join, lang_id, license_scan, line_dedup, media_jpeg, packing, pii, substring_dedup, suffix_dedup, toxicity,
+)
 from .common import table
 
 
@@ -52,6 +54,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("fuzzy_spans")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return hard_negatives.mine(vectors)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_jpeg": op1_media_jpeg,
     "op2_pii": op2_pii,
@@ -63,4 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lang_id": op8_lang_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_substring_dedup": op13_substring_dedup,
 }
