@@ -6,11 +6,11 @@ starts in a document with a smaller doc_id goes; windows are judged on the input
 1. Texts are cut into phrases at content-defined places: the consecutive windows that share one anchor,
    the smallest hash of a GRAM-word string in the window. Equal windows have equal anchors, so a copied
    passage falls into the same phrases wherever it stands.
-2. The reference is every document's phrases, indexed in blocks dealt by the phrase's hash; a block holds
-   each phrase once, with its first place (smallest doc_id). Partial aggregation leaves one entry for each
-   phrase and task, so a passage that a third of all documents share is a row per task.
-3. Each document's phrases are looked up in every block, and the document is factored greedily from left to
-   right: a factor goes on as long as the next phrase's place continues the same reference document.
+2. The reference is every document's phrases, dealt to REFERENCE_BLOCKS blocks by the anchor. A block is
+   indexed by its phrases' hashes, each with its first place (smallest doc_id). Partial aggregation leaves one
+   entry for each phrase and task, so a passage that a third of all documents share is a row per task.
+3. All documents' phrases are looked up in one block after another; then each document is factored greedily
+   from left to right: a factor goes on as long as the next phrase's place continues the same reference document.
 4. At the boundaries of factors phrases differ, but windows may still be equal: first places of phrases whose
    anchor has several phrases are looked up again window by window. They lengthen factors or become new ones.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ WINDOW = 13
 GRAM = 6
 #: Words handled at once.
 BLOCK = 1 << 18
+#: Reference blocks, indexed one after another; more of them take less disk at a time.
+REFERENCE_BLOCKS = 4
 _LOW = np.uint64((1 << 20) - 1)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -154,6 +157,18 @@ def factors(start: np.ndarray, count: np.ndarray, ref_doc: np.ndarray, ref_start
     return [(s, e - s, d, r) for s, e, d, r in out]
 
 
+def _look_up(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One reference block, indexed, and all documents' phrases looked up in it: (doc_id, place, ref_doc, ref_place) of
+    those that start in a smaller doc_id, and (doc_id, place) of first places whose anchor has other phrases."""
+    index = found.groupBy("phrase").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place"), F.first("anchor").alias("anchor"))
+    index = cut(index)
+    shared = index.filter("last > ref_doc").select("phrase", "ref_doc", "ref_place")
+    matched = cut(found.select("phrase", "doc_id", "place").join(shared, "phrase").filter("doc_id > ref_doc").select("doc_id", "place", "ref_doc", "ref_place"))
+    mixed = index.groupBy("anchor").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b"), F.min("ref_doc").alias("c"), F.max("ref_doc").alias("d")).filter("a < b and c < d")
+    open_ = cut(index.join(mixed, "anchor", "left_semi").select(F.col("ref_doc").alias("doc_id"), F.col("ref_place").alias("place")), index)
+    return matched, open_
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_words, n_removed, kept_sha256, n_factors, longest[, kept, spans]).
 
@@ -162,19 +177,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     keyed = docs.select("doc_id", F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFFFFFF), F.lit(0)).alias("text_hash"), "text")
     found = cut(_phrase_rows(keyed.filter("doc_id is not null and text is not null"), window))
-    index = found.groupBy("phrase").agg(F.min(F.struct("doc_id", "place")).alias("ref"), F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"))
-    index = cut(index.select("phrase", "anchor", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.place").alias("ref_place"), (F.col("last") > F.col("ref.doc_id")).alias("shared")))
-    reference = index.filter("shared").select("phrase", "ref_doc", "ref_place")
-    matched = found.select("phrase", "doc_id", "place").join(reference, "phrase").filter("doc_id > ref_doc")
-    matched = cut(matched.select("doc_id", "place", "ref_doc", "ref_place"), found)
-
-    # The boundaries of factors: anchors with several phrases, in several documents.
-    mixed = index.groupBy("anchor").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b"), F.min("ref_doc").alias("c"), F.max("ref_doc").alias("d")).filter("a < b and c < d")
-    open_ = index.join(mixed, "anchor", "left_semi").groupBy(F.col("ref_doc").alias("doc_id")).agg(F.collect_list("ref_place").alias("places"))
-    windows = cut(_window_rows(keyed.join(open_, "doc_id"), window), index)
-    firsts = windows.groupBy("digit").agg(F.min(F.struct("doc_id", "place")).alias("ref"), F.max("doc_id").alias("last")).filter("last > ref.doc_id")
-    firsts = firsts.select("digit", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.place").alias("ref_place"))
+    blocks = [_look_up(found.filter(F.pmod("anchor", F.lit(REFERENCE_BLOCKS)) == b)) for b in range(REFERENCE_BLOCKS)]
+    uncut(found)
+    matched, open_ = (reduce(DataFrame.union, x) for x in zip(*blocks))
+    places = open_.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    windows = cut(_window_rows(keyed.join(places, "doc_id"), window))
+    firsts = windows.groupBy("digit").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place")).filter("last > ref_doc").drop("last")
     single = cut(windows.join(firsts, "digit").filter("doc_id > ref_doc").select("doc_id", "place", "ref_doc", "ref_place"), windows)
+    for _, x in blocks:
+        uncut(x)
 
     marks = matched.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("place", "ref_doc", "ref_place")).alias("marks"))
     joined = keyed.join(marks, "doc_id", "left")
