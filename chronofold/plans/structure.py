@@ -9,13 +9,13 @@ from ..operators import closure as cl
 from .bindings import VERSIONS, bound
 from .catalog import _t, query
 
-#: Three edges from each version, of all kinds; some without an end, some unresolved, some with a term.
+#: Six edges from each version, of all kinds; some without an end, some unresolved, some with a term.
 TYPED_EDGES = """
-SELECT event_id * 3 + j AS edge_id, node_id AS src, version AS src_version,
-  CASE (event_id + j) % 6 WHEN 0 THEN 'ngoai_le' WHEN 1 THEN 'chuyen_tiep' WHEN 2 THEN 'dinh_nghia' WHEN 3 THEN 'tham_quyen' WHEN 4 THEN 'dinh_nghia' ELSE 'chu_de' END AS kind,
+SELECT event_id * 6 + j AS edge_id, node_id AS src, version AS src_version,
+  CASE WHEN (event_id * 5 + j) % 43 = 0 THEN 'ngoai_le' ELSE CASE (event_id + j) % 5 WHEN 0 THEN 'chuyen_tiep' WHEN 1 THEN 'dinh_nghia' WHEN 2 THEN 'tham_quyen' WHEN 3 THEN 'dinh_nghia' ELSE 'chu_de' END END AS kind,
   CASE WHEN (event_id + 2 * j) % 23 = 0 THEN NULL ELSE concat('u', (event_id * 7 + j * 31) % 97) END AS dst,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat(' TEXT ', (event_id + j) % 5, ' ') END AS citation, (event_id + j) % 41 = 0 AS unresolved
-FROM v CROSS JOIN (VALUES (0), (1), (2)) AS t(j)
+FROM v CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS t(j)
 """
 #: Each question has a date, a reader, and a cohort or none.
 QUESTIONS = """
@@ -28,7 +28,7 @@ FROM customer
 @query("g01_closure")
 def g01(spark, d):
     """Every customer's question, seeded with the versions in force of up to five nodes."""
-    bound(spark, d, VERSIONS).withColumn("text", F.concat_ws(" ", "body", F.repeat(F.lit("word "), (F.col("event_id") % 1500).cast("int")))).createOrReplaceTempView("v")
+    bound(spark, d, VERSIONS).withColumn("text", F.concat_ws(" ", "body", F.repeat(F.lit("word "), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 2500).otherwise(F.col("event_id") % 40).cast("int")))).createOrReplaceTempView("v")
     versions, edges = spark.table("v"), spark.sql(TYPED_EDGES)
     may = F.slice(F.array(F.lit("public"), F.lit("internal"), F.lit("restricted")), 1, (F.col("reader") + 1).cast("int"))
     questions = spark.sql(QUESTIONS).withColumn("entitlements", may)
