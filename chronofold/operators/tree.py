@@ -20,6 +20,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.legal import parse_date
 from ..functions.text import next_letter
+from ..sources.scratch import stage
 
 # The forms of lines, after their blanks are trimmed.
 APPENDIX = r"(?iu)^Phụ\s*lục\s*(?:số\s*)?([0-9IVXLCDM]+[a-zđ]?)?\s*[\.:]?\s*(.*)$"
@@ -175,6 +176,7 @@ def parse(docs: DataFrame) -> DataFrame:
     # Text goes to the last unit before it.
     is_node = F.col("unit").isin("preamble", "appendix", "article", "clause", "letter")
     rows = rows.withColumn("owner", _last(is_node, _upto())).withColumn("_n", F.sum(F.when(F.col("unit") == "appendix", 1).otherwise(0)).over(_upto()))
+    rows = stage(rows.drop("raw", "_head"))  # read four times below
 
     numbered = F.when(F.col("unit") == "appendix", F.lower(F.coalesce(F.nullif(get(APPENDIX, 1), F.lit("")), F.col("_n").cast("string"))))
     label = numbered.when(F.col("unit") == "article", get(ARTICLE, 1)).when(F.col("unit") == "clause", get(CLAUSE, 1)).otherwise("")

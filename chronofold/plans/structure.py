@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import quotes as qt
 from ..functions import scope as sc
 from ..operators import closure as cl
+from ..operators import tree as tr
 from .bindings import VERSIONS, bound
 from .catalog import _t, query
 
@@ -42,3 +44,114 @@ def g01(spark, d):
     out = cl.closure(questions.drop("c_custkey", "reader"), seeds, edges, versions.drop("event_id", "body", "scope_hash"), nodes, applies)
     shown = F.array_join(F.transform("taken", lambda t: F.concat_ws(":", t["node_id"], t["version"], t["depth"], t["via"])), ",")
     return out.select("qid", shown.alias("taken"), "tokens", "complete", F.array_join("reasons", ",").alias("reasons"), F.array_join("flags", ",").alias("flags"))
+
+# ---------------------------------------------------------------- trees and quotations
+
+POINTS = "abcdđeghiklm"
+
+
+def _laws(spark, d):
+    """Customers as laws: articles, clauses and points in numbers that depend on the id, a quoted law among them, and
+    an appendix after the sign-off."""
+    c, points = F.col("c_custkey"), F.array(*map(F.lit, POINTS))
+    point = lambda p: F.concat(p, F.lit(") Điểm "), p)
+    quote = F.array(F.lit("“Điều 9. Giả"), F.lit("1. giả"), F.lit("a) giả”."))
+
+    def clause(k):
+        own = F.slice(points, 1, ((c + k) % 13).cast("int"))
+        return F.flatten(F.array(F.array(F.concat(k, F.lit(". Khoản "), k)), F.when(k == 2, quote).otherwise(F.array().cast("array<string>")), F.transform(own, point)))
+
+    def article(n):
+        some = F.filter(F.sequence(F.lit(0), ((c + n) % 4).cast("int")), lambda k: k > 0)
+        lead = F.when(n % 2 == 0, F.array(F.concat(F.lit("Lời dẫn "), n))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.array(F.array(F.concat(F.lit("Điều "), n, F.lit(". Tên "), n)), lead, F.flatten(F.transform(some, clause))))
+
+    articles = F.flatten(F.transform(F.sequence(F.lit(1), (c % 4 + 1).cast("int")), article))
+    head, tail = F.array(F.concat(F.lit("Số: "), c), F.lit("LUẬT"), F.lit("Chương I"), F.lit("QUY ĐỊNH")), F.array(F.lit("Nơi nhận:"), F.lit("1. bỏ"), F.lit("PHỤ LỤC"), F.lit("1. lời"))
+    return _t(spark, d, "customer").select(c.alias("doc_id"), F.array_join(F.concat(head, articles, tail), "\n").alias("text"))
+
+
+@query(
+    "p01_nodes",
+    f"""
+WITH c AS (SELECT c_custkey AS c FROM customer), a AS (SELECT c, n FROM c, unnest(range(1, c % 4 + 2)) AS t(n)),
+k AS (SELECT c, n, k FROM a, unnest(range(1, (c + n) % 4 + 1)) AS t(k)), p AS (SELECT c, n, k, p FROM k, unnest(range(1, (c + k) % 13 + 1)) AS t(p)),
+all_ AS (
+  SELECT c, 0 AS n, 0 AS k, 0 AS p, 'preamble' AS path, NULL AS heading, concat('Số: ', c, chr(10), 'LUẬT') AS body FROM c
+  UNION ALL SELECT c, n, 0, 0, concat('dieu:', n), concat('Tên ', n), CASE WHEN n % 2 = 0 THEN concat('Lời dẫn ', n) ELSE '' END FROM a
+  UNION ALL SELECT c, n, k, 0, concat('dieu:', n, '/khoan:', k), NULL, concat('Khoản ', k, CASE WHEN k = 2 THEN concat(chr(10), '“Điều 9. Giả', chr(10), '1. giả', chr(10), 'a) giả”.') ELSE '' END) FROM k
+  UNION ALL SELECT c, n, k, p, concat('dieu:', n, '/khoan:', k, '/diem:', substr('{POINTS}', p, 1)), NULL, concat('Điểm ', substr('{POINTS}', p, 1)) FROM p
+  UNION ALL SELECT c, 99, 0, 0, 'phuluc:1', NULL, '1. lời' FROM c)
+SELECT c AS doc_id, CAST(row_number() OVER (PARTITION BY c ORDER BY n, k, p) AS INTEGER) AS seq, path, heading, body, CASE WHEN n > 0 THEN 'Chương I QUY ĐỊNH' ELSE '' END AS chapter FROM all_
+""",
+)
+def p01(spark, d):
+    return tr.parse(_laws(spark, d)).select("doc_id", "seq", "path", "heading", "body", F.array_join(F.transform("chapter", lambda x: F.replace(x, F.lit("."), F.lit(""))), "|").alias("chapter"))
+
+
+@query("a08_counts", "WITH c AS (SELECT c_custkey AS c FROM customer), a AS (SELECT c, n FROM c, unnest(range(1, c % 4 + 2)) AS t(n)), k AS (SELECT c, n, k FROM a, unnest(range(1, (c + n) % 4 + 1)) AS t(k)) SELECT c AS doc_id, count(DISTINCT n) AS articles, count(k) AS clauses, CAST(coalesce(sum((c + k) % 13), 0) AS BIGINT) AS points, CAST(1 AS BIGINT) AS appendices FROM a LEFT JOIN k USING (c, n) GROUP BY 1")
+def a08_counts(spark, d):
+    """Structural counts of each document."""
+    n = lambda level: F.count(F.when(F.col("level") == level, 1))
+    return tr.parse(_laws(spark, d)).groupBy("doc_id").agg(n("dieu").alias("articles"), n("khoan").alias("clauses"), n("diem").alias("points"), n("phuluc").alias("appendices"))
+
+
+#: Turns as lines of one text each: nested, straight and closing marks.
+QUOTED = "CASE turn % 7 WHEN 1 THEN '“mở' WHEN 2 THEN '“lồng” thêm “' WHEN 3 THEN '”' WHEN 4 THEN '” ”' WHEN 5 THEN 'một \" dấu' WHEN 6 THEN '\"đủ\"' ELSE role END"
+
+
+@query(
+    "p03_quotes",
+    f"""
+WITH l AS (SELECT conv_id, turn, {QUOTED} AS raw FROM conversations),
+s AS (SELECT *, list(len(raw) - len(replace(raw, '“', '')) - len(raw) + len(replace(raw, '”', ''))) OVER w AS deltas, sum(len(raw) - len(replace(raw, '"', ''))) OVER w AS straight FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, coalesce(list_reduce(list_prepend(0, deltas), lambda a, x: greatest(0, a + x)), 0) > 0 OR coalesce(straight, 0) % 2 = 1 OR left(raw, 1) IN ('“', '"') AS in_quote FROM s
+""",
+)
+def p03(spark, d):
+    _t(spark, d, "conversations").createOrReplaceTempView("turns")
+    rows = spark.sql(f"SELECT conv_id AS doc_id, turn AS line_no, {QUOTED} AS raw FROM turns")
+    return tr.quoted(rows.withColumn("line", tr.strip(F.col("raw")))).select(F.col("doc_id").alias("conv_id"), F.col("line_no").alias("turn"), "in_quote")
+
+
+_ORDERED = "SELECT l_orderkey AS g, concat(l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linenumber > 1 THEN 'a' ELSE '' END) AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_returnflag, l_partkey, l_suppkey) AS pos FROM lineitem"
+
+
+@query(
+    "h21_sequence",
+    f"""
+WITH l AS (SELECT *, CAST(regexp_extract(label, '[0-9]+') AS INTEGER) AS b, label LIKE '%a' AS s FROM ({_ORDERED}) x),
+e AS (SELECT *, coalesce((SELECT l2.b FROM l l2 WHERE l2.g = l.g AND l2.pos < l.pos AND NOT l2.s ORDER BY l2.pos DESC LIMIT 1), 0) AS before FROM l)
+SELECT g AS "group", CAST(pos AS INTEGER) AS "at", label, CAST(CASE WHEN s THEN before ELSE before + 1 END AS VARCHAR) AS expected FROM e WHERE b <> CASE WHEN s THEN before ELSE before + 1 END
+""",
+)
+def h21(spark, d):
+    _t(spark, d, "lineitem").createOrReplaceTempView("lineitem_h21")
+    rows = spark.sql(_ORDERED.replace("FROM lineitem", "FROM lineitem_h21")).withColumnRenamed("g", "group").withColumn("at", F.col("pos").cast("int"))
+    return tr.sequence_gaps(rows.select("group", "at", "label"))
+
+
+@query("h22_alphabet", "WITH l AS (SELECT user_id AS g, event_id AS pos, substr('abcdđe', CAST(event_id % 7 AS INT) + 1, 1) AS label, lag(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_id % 7 < 6) SELECT g AS \"group\", pos AS \"at\", label, CASE WHEN coalesce(p, -1) + 1 < 6 THEN substr('abcdđe', CAST(coalesce(p, -1) + 2 AS INT), 1) ELSE '?' END AS expected FROM l WHERE pos % 7 <> 0 AND pos % 7 <> coalesce(p, -1) + 1 UNION ALL SELECT user_id, event_id, 'z', NULL FROM events WHERE event_id % 7 = 6")
+def h22(spark, d):
+    label = F.when(F.col("event_id") % 7 < 6, F.substring(F.lit("abcdđe"), (F.col("event_id") % 7 + 1).cast("int"), F.lit(1))).otherwise("z")
+    return tr.sequence_gaps(_t(spark, d, "events").select(F.col("user_id").alias("group"), F.col("event_id").alias("at"), label.alias("label")), "abcdđe")
+
+
+@query("x24_spans", "SELECT doc_id, concat(4, ':', 6 + len(text)) AS spans, concat(4, ':', 6 + len(text)) AS block FROM (SELECT doc_id, replace(replace(replace(coalesce(text, ''), '“', ''), '”', ''), '\"', '') AS text FROM documents) x")
+def x24(spark, d):
+    """Each document's whole text as a quotation after a few letters."""
+    text = F.translate(F.coalesce("text", F.lit("")), '“”"', "")
+    quoted = F.concat(F.lit("nói “"), text, F.lit("” rồi"))
+    show = lambda p: F.concat_ws(":", p["start"], p["stop"])
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(qt.quoted_spans(quoted), show), ",").alias("spans"), show(qt.quote_block(quoted, F.lit(1))).alias("block"))
+
+
+@query("p09_roles", "WITH c AS (SELECT c_custkey AS c FROM customer), a AS (SELECT c, n FROM c, unnest(range(1, 6)) AS t(n)), k AS (SELECT c, n, k FROM a, unnest(range(1, 3)) AS t(k)) SELECT c AS doc_id, concat('dieu:', n) AS path, CASE (c + n) % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'transition' WHEN 2 THEN 'effectivity' WHEN 3 THEN 'amending' ELSE 'rule' END AS role FROM a UNION ALL SELECT c, concat('dieu:', n, '/khoan:', k), CASE (c + n) % 5 WHEN 0 THEN 'definition' WHEN 3 THEN 'amending' ELSE CASE WHEN k = 2 AND c % 2 = 0 THEN 'amending' ELSE CASE (c + n) % 5 WHEN 1 THEN 'transition' WHEN 2 THEN 'effectivity' ELSE 'rule' END END END FROM k")
+def p09(spark, d):
+    """Roles of five articles with two clauses each, by every kind of heading, inherited and overruled."""
+    c = F.col("c_custkey")
+    heading = lambda n: F.element_at(F.array(*map(F.lit, ("Giải thích từ ngữ", "Quy định chuyển tiếp", "Hiệu lực thi hành", "Sửa đổi khoản 2 như sau", "Mức cho vay"))), ((c + n) % 5 + 1).cast("int"))
+    second = F.when(c % 2 == 0, F.lit("2. Bãi bỏ khoản 5 “cũ”")).otherwise("2. Áp dụng “mới”")
+    article = lambda n: F.concat(F.lit("Điều "), n, F.lit(". "), heading(n), F.lit("\n1. Một\n"), second)
+    docs = _t(spark, d, "customer").select(c.alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), article), "\n").alias("text"))
+    return tr.roles(tr.parse(docs)).select("doc_id", "path", "role")
