@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .legal import NUMBER_FORMS
-from .quotes import _places
+from .quotes import _places, let
 
 # Units by rank, their printed names, labels and lists, connectives, and names of documents.
 RANKS = {"tiet": 0, "diem": 1, "khoan": 2, "dieu": 3, "phuluc": 3}
@@ -50,12 +50,15 @@ def label_of(printed: Column) -> Column:
 def list_items(mark: Column) -> Column:
     """(level, label) of each entry of one unit list; a(iii) is the item iii, then its point a."""
     part = lambda k: F.regexp_extract(mark, ITEM, k)
-    level = level_of(F.regexp_replace(part(1), r"(?U)\s+", " "))
+    pair = lambda a, b: F.struct(a.alias("level"), b.alias("label"))
+
+    def entries(p: Column) -> Column:
+        split = lambda x: F.array(pair(F.lit("tiet"), F.regexp_extract(x, MIXED, 2)), pair(F.lit("diem"), F.regexp_extract(x, MIXED, 1)))
+        return F.flatten(F.transform(p["labels"], lambda x: F.when(p["level"].isin("tiet", "diem") & x.rlike(MIXED), split(x)).otherwise(F.array(pair(p["level"], x)))))
+
     rest = F.transform(F.split(F.trim(part(3)), BETWEEN), lambda x: F.regexp_replace(F.trim(x), r"^\)+|\)+$", ""))
     labels = F.concat(F.array(label_of(part(2))), F.transform(F.filter(rest, lambda x: x.rlike(LABEL)), label_of))
-    pair = lambda a, b: F.struct(a.alias("level"), b.alias("label"))
-    split = lambda x: F.array(pair(F.lit("tiet"), F.regexp_extract(x, MIXED, 2)), pair(F.lit("diem"), F.regexp_extract(x, MIXED, 1)))
-    return F.flatten(F.transform(labels, lambda x: F.when(level.isin("tiet", "diem") & x.rlike(MIXED), split(x)).otherwise(F.array(pair(level, x)))))
+    return let(F.struct(level_of(F.regexp_replace(part(1), r"(?U)\s+", " ")).alias("level"), labels.alias("labels")), entries)
 
 
 def joined_paths(items: Column) -> Column:
@@ -74,49 +77,48 @@ def joined_paths(items: Column) -> Column:
 
 def _binding(text: Column, stop: Column) -> Column:
     """What follows a group that ends at `stop`: (document, this, relative, stop)."""
-    tail = F.substring(text, stop + 1, F.lit(AFTER))
-    bare = F.regexp_replace(tail, r"(?U)^\s+", "")
-    found = None
-    for lead in ("", "của "):
-        after = F.when(F.startswith(bare, F.lit(lead)), F.substring(bare, F.lit(len(lead) + 1), F.lit(AFTER)))
-        for kind, form in (("document", DOCUMENT), ("this", THIS), ("relative", RELATIVE)):
-            m = F.regexp_extract(after, form, 1)
-            end = stop + F.length(tail) - F.length(bare) + len(lead) + F.length(m)
-            value = F.struct(
-                F.when(F.lit(kind == "document"), F.trim(m)).alias("document"), F.lit(kind == "this").alias("this"),
-                F.when(F.lit(kind == "relative"), level_of(F.regexp_extract(after, RELATIVE, 2))).alias("relative"), end.cast("int").alias("stop"),
-            )
-            hit = after.isNotNull() & (m != "")
-            found = F.when(hit, value) if found is None else found.when(hit, value)
-    none = F.struct(F.lit(None).cast("string").alias("document"), F.lit(False).alias("this"), F.lit(None).cast("string").alias("relative"), stop.cast("int").alias("stop"))
-    return found.otherwise(none)
+
+    def after(tail: Column) -> Column:
+        bare = F.regexp_replace(tail, r"(?U)^\s+", "")
+        return let(F.struct(bare.alias("bare"), (F.length(tail) - F.length(bare)).alias("blanks")), bind)
+
+    def bind(t: Column) -> Column:
+        of = F.startswith(t["bare"], F.lit("của "))
+        rests = F.array(t["bare"], F.when(of, F.substring(t["bare"], F.lit(5), F.lit(AFTER))).otherwise(""))
+        # Every form at every start, the document first: the first that is there counts.
+        tried = F.flatten(F.transform(rests, lambda r, i: F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract(r, form, 1).alias("found"), (i * 4).alias("lead")) for kind, form in (("document", DOCUMENT), ("this", THIS), ("relative", RELATIVE))])))
+        first = F.get(F.filter(tried, lambda x: x["found"] != ""), F.lit(0))
+        return let(first, lambda m: F.struct(
+            F.when(m["kind"] == "document", F.trim(m["found"])).alias("document"), F.coalesce(m["kind"] == "this", F.lit(False)).alias("this"),
+            F.when(m["kind"] == "relative", level_of(F.regexp_extract(m["found"], RELATIVE, 2))).alias("relative"),
+            (stop + F.coalesce(t["blanks"] + m["lead"] + F.length(m["found"]), F.lit(0))).cast("int").alias("stop"),
+        ))
+
+    return let(F.substring(text, stop + 1, F.lit(AFTER)), after)
 
 
 def references(text: Column) -> Column:
     """Groups of addresses in a text, in order: (paths, document, this, relative, start, stop, raw). A list that starts
     inside the binding of the group before it is part of that. Null text, null; no address, no group."""
-    marks = _places(text, ITEM)
-    tokens = F.transform(marks, lambda p: F.struct(p["at"].cast("int").alias("at"), (p["at"] + F.length(p["mark"])).cast("int").alias("stop"), list_items(p["mark"]).alias("items")))
-    group = "struct<start:int,stop:int,items:array<struct<level:string,label:string>>>"
-    zero = F.struct(F.array().cast(f"array<{group}>").alias("groups"), F.lit(0).alias("free"))
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc["groups"], F.lit(-1))
-        gap = F.substring(text, last["stop"] + 1, t["at"] - last["stop"])
-        linked = last.isNotNull() & (t["at"] >= last["stop"]) & (t["at"] - last["stop"] <= GAP) & gap.rlike(LINK)
-        start = F.when(linked, last["start"]).otherwise(t["at"])
-        items = F.when(linked, F.concat(last["items"], t["items"])).otherwise(t["items"])
-        before = F.when(linked, F.slice(acc["groups"], 1, F.size(acc["groups"]) - 1)).otherwise(acc["groups"])
-        made = F.struct(F.concat(before, F.array(F.struct(start.alias("start"), t["stop"].alias("stop"), items.alias("items")))).alias("groups"), _binding(text, t["stop"])["stop"].alias("free"))
+    tokens = F.transform(_places(text, ITEM), lambda p: F.struct(p["at"].alias("at"), (p["at"] + F.length(p["mark"])).alias("stop"), list_items(p["mark"]).alias("items"), _binding(text, p["at"] + F.length(p["mark"])).alias("bound")))
+    group = "struct<start:int,stop:int,items:array<struct<level:string,label:string>>,bound:struct<document:string,this:boolean,relative:string,stop:int>>"
+    zero = F.array().cast(f"array<{group}>")
+
+    def step(groups: Column, t: Column) -> Column:
+        last = F.try_element_at(groups, F.lit(-1))
+        gap = t["at"] - last["stop"]
+        linked = last.isNotNull() & (gap >= 0) & (gap <= GAP) & F.substring(text, last["stop"] + 1, gap).rlike(LINK)
+        made = lambda start, items: F.array(F.struct(start.alias("start"), t["stop"].alias("stop"), items.alias("items"), t["bound"].alias("bound")))
+        grown = F.concat(F.slice(groups, 1, F.size(groups) - 1), made(last["start"], F.concat(last["items"], t["items"])))
         # Whether a list continues the group comes first; else it must start after the group's binding.
-        return F.when(linked | (t["at"] >= acc["free"]), made).otherwise(acc)
+        return F.when(linked, grown).when(last.isNull() | (t["at"] >= last["bound"]["stop"]), F.concat(groups, made(t["at"], t["items"]))).otherwise(groups)
 
-    def bound(g: Column) -> Column:
-        b = _binding(text, g["stop"])
+    def shown(g: Column) -> Column:
+        b = g["bound"]
         raw = F.trim(F.substring(text, g["start"] + 1, b["stop"] - g["start"]))
         return F.struct(joined_paths(g["items"]).alias("paths"), b["document"].alias("document"), b["this"].alias("this"), b["relative"].alias("relative"), g["start"].alias("start"), b["stop"].alias("stop"), raw.alias("raw"))
 
-    return F.transform(F.aggregate(tokens, zero, step)["groups"], bound)
+    return F.transform(F.aggregate(tokens, zero, step), shown)
 
 
 def sentence_at(text: Column, at: Column) -> Column:

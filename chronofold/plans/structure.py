@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import quotes as qt
 from ..functions import scope as sc
+from ..functions import surface as sf
+from ..operators import address as ad
 from ..operators import closure as cl
+from ..operators import contain as ct
 from ..operators import tree as tr
 from .bindings import VERSIONS, bound
 from .catalog import _t, query
@@ -155,3 +158,97 @@ def p09(spark, d):
     article = lambda n: F.concat(F.lit("Điều "), n, F.lit(". "), heading(n), F.lit("\n1. Một\n"), second)
     docs = _t(spark, d, "customer").select(c.alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), article), "\n").alias("text"))
     return tr.roles(tr.parse(docs)).select("doc_id", "path", "role")
+
+# ---------------------------------------------------------------- printed addresses, resolution, terms
+
+_REFERENCE = """
+SELECT o_orderkey AS id, concat('theo quy định tại ', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'điểm a ' WHEN 2 THEN 'các điểm a và b ' ELSE 'các điểm a, b, c và đ ' END,
+  'khoản ', o_orderkey % 20 + 1, CASE WHEN o_orderkey % 4 > 0 THEN '' ELSE concat(', khoản ', o_orderkey % 20 + 2, CASE WHEN o_orderkey % 3 = 0 THEN concat(' hoặc ', o_orderkey % 20 + 3, 'a') ELSE '' END) END,
+  ' Điều ', o_orderkey % 150 + 1, ' ', CASE o_orderkey % 5 WHEN 0 THEN 'Thông tư này' WHEN 1 THEN 'của Thông tư số 39/2016/TT-NHNN' WHEN 2 THEN 'Luật Các tổ chức ngày 1 tháng 2 năm 2010' WHEN 3 THEN ', khoản 7 Điều này' ELSE 'thì cho vay' END, '; Phụ lục ', o_orderkey % 9 + 1, '.') AS text
+FROM orders
+"""
+
+
+@query(
+    "p10_paths",
+    """
+WITH o AS (SELECT o_orderkey AS id, concat('dieu:', o_orderkey % 150 + 1, '/khoan:') AS base, o_orderkey % 20 + 1 AS k, concat('phuluc:', o_orderkey % 9 + 1) AS p FROM orders),
+a AS (SELECT id, p, CASE WHEN id % 4 > 0 THEN array_to_string(list_transform(['a', 'b', 'c', 'đ'][1:CASE id % 4 WHEN 3 THEN 4 ELSE id % 4 END], lambda x: concat(base, k, '/diem:', x)), ',')
+  ELSE concat(base, k, ',', base, k + 1, CASE WHEN id % 3 = 0 THEN concat(',', base, k + 2, 'a') ELSE '' END) END AS first FROM o)
+SELECT id, concat(first, CASE id % 5 WHEN 0 THEN '@this' WHEN 1 THEN '@Thông tư số 39/2016/TT-NHNN' WHEN 2 THEN '@Luật Các tổ chức ngày 1 tháng 2 năm 2010' WHEN 3 THEN ',khoan:7@dieu' ELSE '@' END, ' ', p, '@') AS found FROM a
+""",
+)
+def p10(spark, d):
+    show = lambda g: F.concat(F.array_join(g["paths"], ","), F.lit("@"), F.coalesce(g["document"], F.when(g["this"], "this"), g["relative"], F.lit("")))
+    return bound(spark, d, _REFERENCE).select("id", F.array_join(F.transform(sf.references(F.col("text")), show), " ").alias("found"))
+
+
+_ALIASES = "SELECT concat('d', user_id % 20) AS doc_key, concat('dieu:', event_id % 97, '/khoan:', event_id % 11) AS path, concat('n', event_id % 5000) AS node_id, CAST(ts AS DATE) AS valid_from, CASE WHEN event_id % 2 = 0 THEN CAST(CAST(ts AS DATE) + CAST(event_id % 9 + 1 AS INT) AS DATE) END AS valid_to FROM events"
+_BORN = "SELECT concat('b', event_id % 3000) AS node_id, concat('d', (user_id + event_id) % 20) AS doc_key, concat('dieu:', event_id % 97, CASE WHEN event_id % 4 > 0 THEN concat('/khoan:', event_id % 11) ELSE '' END) AS path FROM events"
+_ASKS = "SELECT event_id AS ask_id, concat('d', (user_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) % 20) AS doc_key, concat('dieu:', event_id % 97, '/khoan:', event_id % 11, CASE WHEN event_id % 3 = 0 THEN '/diem:a' ELSE '' END) AS path, CAST(CAST(ts AS DATE) + CAST(event_id % 21 - 10 AS INT) AS DATE) AS at_ FROM events"
+
+
+@query(
+    "r01_resolve",
+    f"""
+WITH al AS (SELECT DISTINCT * FROM ({_ALIASES}) x), nd AS (SELECT DISTINCT * FROM ({_BORN}) x), ask AS ({_ASKS}),
+tried AS (SELECT ask_id, doc_key, at_, path AS asked, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM ask, unnest(range(1, len(string_split(path, '/')) + 1)) AS t(k)),
+named AS (SELECT * FROM tried JOIN al USING (doc_key, path)),
+c AS (SELECT *, rank() OVER (PARTITION BY ask_id, path ORDER BY valid_from DESC) AS r FROM named WHERE valid_from <= at_ AND (valid_to IS NULL OR at_ < valid_to)),
+steps AS (
+  SELECT ask_id, asked, path, 1 AS step, count(*) AS n, min(node_id) AS node_id FROM c WHERE r = 1 GROUP BY ALL
+  UNION ALL SELECT ask_id, asked, path, 2, count(*), min(node_id) FROM named WHERE valid_from > at_ GROUP BY ALL HAVING count(*) = 1
+  UNION ALL SELECT ask_id, asked, path, 3, count(*), min(node_id) FROM tried JOIN nd USING (doc_key, path) GROUP BY ALL HAVING count(*) = 1),
+best AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY length(path) DESC, step) = 1)
+SELECT ask_id, CASE WHEN n = 1 THEN node_id END AS node_id, CASE WHEN n > 1 THEN 'tied' WHEN best.path <> asked THEN 'ancestor' ELSE ['covered', 'future', 'provisional'][step] END AS how, best.path AS path FROM ask LEFT JOIN best USING (ask_id)
+""",
+)
+def r01(spark, d):
+    asks = bound(spark, d, _ASKS).withColumnRenamed("at_", "at")
+    return ad.resolve(asks, bound(spark, d, _ALIASES), bound(spark, d, _BORN), ancestors=True)
+
+
+@query(
+    "r03_find_document",
+    """
+WITH doc AS (SELECT concat(p_partkey, '/', p_size) AS doc_key, DATE '2000-01-01' + CAST(p_partkey * 7 % 3000 AS INT) AS issued, lower(p_name) AS title FROM part),
+ask AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN concat(c_custkey, '/', c_custkey % 50 + 1) END AS number, CASE WHEN c_custkey % 3 = 1 THEN DATE '2000-01-01' + CAST(c_custkey % 3000 AS INT) END AS issued, lower(concat(CASE WHEN c_custkey % 2 = 0 THEN 'x ' ELSE '' END, p_name, CASE WHEN c_custkey % 2 = 0 THEN ' y' ELSE '' END)) AS hint FROM customer LEFT JOIN part ON p_partkey = c_custkey % 500),
+e AS (SELECT id, doc_key FROM ask JOIN doc ON number = doc_key),
+i AS (SELECT id, min(doc_key) AS doc_key FROM ask JOIN doc USING (issued) WHERE number IS NULL GROUP BY 1 HAVING count(DISTINCT doc_key) = 1),
+h AS (SELECT id, min(doc_key) AS doc_key FROM ask JOIN doc ON contains(title, hint) OR (length(title) > 8 AND contains(hint, title)) WHERE number IS NULL AND id NOT IN (SELECT id FROM i) GROUP BY 1 HAVING count(DISTINCT doc_key) = 1)
+SELECT id AS ask_id, coalesce(e.doc_key, i.doc_key, h.doc_key) AS doc_key FROM ask LEFT JOIN e USING (id) LEFT JOIN i USING (id) LEFT JOIN h USING (id)
+""",
+)
+def r03(spark, d):
+    p, c = _t(spark, d, "part"), _t(spark, d, "customer")
+    start = F.lit("2000-01-01").cast("date")
+    docs = p.select(F.concat_ws("/", "p_partkey", "p_size").alias("doc_key"), F.date_add(start, (F.col("p_partkey") * 7 % 3000).cast("int")).alias("issued"), F.col("p_name").alias("title"))
+    k = F.col("c_custkey")
+    around = lambda s: F.when(k % 2 == 0, s).otherwise("")
+    asks = c.join(p, p["p_partkey"] == k % 500, "left").select(
+        k.alias("ask_id"), F.when(k % 3 == 0, F.concat(k, F.lit("/"), k % 50 + 1)).alias("number"), F.when(k % 3 == 1, F.date_add(start, (k % 3000).cast("int"))).alias("issued"),
+        F.concat(around("x "), F.coalesce(F.upper("p_name"), F.lit("")), around(" y")).alias("hint"),
+    )
+    return ad.find_document(asks, docs)
+
+
+@query("r10_shorthand", "WITH doc AS (SELECT DISTINCT concat('0', c_custkey % 1000, '/', c_nationkey) AS doc_key, CAST(c_custkey % 1000 AS VARCHAR) AS n FROM customer), one AS (SELECT nullif(n, '0') AS n, min(doc_key) AS doc_key FROM doc WHERE n <> '0' GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey AS ask_id, doc_key FROM supplier LEFT JOIN one ON n = CAST(s_suppkey AS VARCHAR)")
+def r10(spark, d):
+    docs = _t(spark, d, "customer").select(F.concat(F.lit("0"), F.col("c_custkey") % 1000, F.lit("/"), "c_nationkey").alias("doc_key")).filter("c_custkey % 1000 <> 0")
+    return ad.resolve_shorthand(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("ask_id"), F.concat(F.lit("00"), "s_suppkey").alias("number")), docs)
+
+
+@query(
+    "j21_terms",
+    """
+WITH n AS (SELECT o_custkey AS doc_id, concat('dieu:', o_orderkey, '/khoan:1') AS path, o_orderstatus = 'F' AS defines, lower(concat(o_orderpriority, ' ', o_orderkey % 10)) AS term, concat('về ', lower(o_orderpriority), ' ', o_orderkey % 10, o_orderkey % 3, ' và ', lower(o_orderpriority), ' ', o_orderkey % 7) AS body FROM orders)
+SELECT DISTINCT b.doc_id, b.path AS src_path, a.term, a.path AS dst_path FROM n a JOIN n b USING (doc_id) WHERE a.defines AND NOT b.defines AND contains(b.body, a.term)
+""",
+)
+def j21(spark, d):
+    """Orders as clauses of their customer's law: finished ones define a term, the others use some."""
+    o = _t(spark, d, "orders")
+    k, name = F.col("o_orderkey"), F.col("o_orderpriority")
+    body = F.when(F.col("o_orderstatus") == "F", F.concat(name, F.lit(" "), k % 10, F.lit(" là việc"))).otherwise(F.concat(F.lit("Về "), F.lower(name), F.lit(" "), k % 10, k % 3, F.lit(" và "), name, F.lit(" "), k % 7))
+    nodes = o.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("dieu:"), k, F.lit("/khoan:1")).alias("path"), F.lit("khoan").alias("level"), F.when(F.col("o_orderstatus") == "F", "definition").otherwise("rule").alias("role"), F.lit(None).cast("string").alias("heading"), body.alias("body"))
+    return ct.term_edges(nodes)
