@@ -11,6 +11,7 @@ from ..operators import address as ad
 from ..operators import closure as cl
 from ..operators import contain as ct
 from ..operators import tree as tr
+from ..operators import verify as vf
 from .bindings import VERSIONS, bound
 from .catalog import _t, query
 
@@ -252,3 +253,22 @@ def j21(spark, d):
     body = F.when(F.col("o_orderstatus") == "F", F.concat(name, F.lit(" "), k % 10, F.lit(" là việc"))).otherwise(F.concat(F.lit("Về "), F.lower(name), F.lit(" "), k % 10, k % 3, F.lit(" và "), name, F.lit(" "), k % 7))
     nodes = o.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("dieu:"), k, F.lit("/khoan:1")).alias("path"), F.lit("khoan").alias("level"), F.when(F.col("o_orderstatus") == "F", "definition").otherwise("rule").alias("role"), F.lit(None).cast("string").alias("heading"), body.alias("body"))
     return ct.term_edges(nodes)
+
+# ---------------------------------------------------------------- answers
+
+
+@query("v14_verify")
+def v14_verify(spark, d):
+    """Every document's beginning quoted from it, with edits in some, under its own and its neighbour's text; tags and
+    numbers that may be missing."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    quote = F.translate(F.substring(text, F.lit(1), (k % 120 + 12).cast("int")), "“”\"«»\n", "")
+    edited = F.when(k % 3 == 0, F.concat(F.lit("Sửa "), quote)).when(k % 3 == 1, F.regexp_replace(quote, "a", "o")).otherwise(quote)
+    docs = _t(spark, d, "documents").select(k.alias("answer_id"), text.alias("text"), edited.alias("quote"))
+    refs = F.array(F.lit("[1]"), F.when(F.col("answer_id") % 5 == 0, "[3]").otherwise("[2]"))
+    claims = docs.select("answer_id", F.lit("c").alias("claim_id"), F.concat(F.lit("“"), "quote", F.lit("” [1] "), F.col("answer_id") % 50).alias("text"), refs.alias("refs"))
+    answers = docs.select("answer_id", F.concat(F.lit("[1] [2] ["), F.col("answer_id") % 4, F.lit("] “"), F.upper("quote"), F.lit("”")).alias("answer"), F.array((F.col("answer_id") % 10).cast("string")).alias("numbers"))
+    context = docs.select("answer_id", F.lit("[1]").alias("ref"), "text").unionByName(docs.select((F.col("answer_id") + 1).alias("answer_id"), F.lit("[2]").alias("ref"), "text"))
+    bases = docs.select("answer_id", F.concat(F.lit("["), F.col("answer_id") % 3, F.lit("]")).alias("ref"))
+    out = vf.verify(answers, claims, bases, context)
+    return out.withColumn("detail", F.md5(F.col("detail").cast("binary")))
