@@ -36,9 +36,10 @@ def _bounds(q: str, t: str, starts: np.ndarray, size: int) -> np.ndarray:
     return 2.0 * shared / (len(q) + stops - starts)
 
 
-def best_ratio(quote: str | None, text: str | None) -> float:
+def best_ratio(quote: str | None, text: str | None, least: float = 0.0) -> float:
     """1 if the quotation stands in the text whatever the case and blanks; else the best ratio of it with windows of its
-    length and a step more, a step being a fifth of it and ten letters at least. 0 if either is empty."""
+    length and a step more, a step being a fifth of it and ten letters at least. 0 if either is empty. Windows that can't
+    reach `least` are left out: a result below it then only says that none does."""
     q, t = (" ".join((s or "").split()) for s in (quote, text))
     if not q or not t:
         return 0.0
@@ -60,7 +61,7 @@ def best_ratio(quote: str | None, text: str | None) -> float:
             return r
     best = 0.0
     for k in np.argsort(-bounds, kind="stable").tolist():
-        if bounds[k] <= best:
+        if bounds[k] <= best or bounds[k] < least:
             break
         best = max(best, ratio(t[starts[k] : starts[k] + len(q) + step]))
     return best
@@ -68,13 +69,18 @@ def best_ratio(quote: str | None, text: str | None) -> float:
 
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
-    """best_ratio of each row; only rows that no substring test settles need reach it."""
+    """best_ratio of each row."""
     return pd.Series([best_ratio(q, t) for q, t in zip(quote, text)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def _reached(quote: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([best_ratio(q, t, FUZZY) for q, t in zip(quote, text)], dtype="float64")
+
+
 def _similar(quote: Column, text: Column) -> Column:
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
-    return F.when((plain(quote) != "") & F.contains(plain(text), plain(quote)), 1.0).otherwise(fuzzy_ratio(quote, text))
+    return F.when((plain(quote) != "") & F.contains(plain(text), plain(quote)), 1.0).otherwise(_reached(quote, text))
 
 
 def verify(answers: DataFrame, claims: DataFrame, bases: DataFrame, context: DataFrame) -> DataFrame:

@@ -32,7 +32,9 @@ def test_best_ratio_is_that_of_all_windows():
         for _ in range(r.randrange(4)):
             k = r.randrange(len(quote) + 1)
             quote = quote[:k] + r.choice(["x", "", " ", "  đ"]) + quote[k + r.randrange(2) :]
-        assert vf.best_ratio(quote, text) == slide(quote, text), (quote, text)
+        best = slide(quote, text)
+        assert vf.best_ratio(quote, text) == best, (quote, text)
+        assert (vf.best_ratio(quote, text, 0.9) >= 0.9) == (best >= 0.9)
     assert vf.best_ratio(None, "a") == 0 and vf.best_ratio("a", None) == 0 and vf.best_ratio("a b", "x A   B") == 1
 
 
