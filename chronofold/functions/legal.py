@@ -146,7 +146,7 @@ def as_of(plain: Column, today: Column, session: Column | None = None) -> Column
     with slashes, with hyphens), a month's or year's last day, words for now, the session's date, today."""
     now = today if session is None else F.coalesce(session, today)
     day = None
-    for p in (r"ngay\s+([0-9]{1,2})\s+thang\s+([0-9]{1,2})\s+nam\s+([0-9]{4})", r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})"):
+    for p in (r"ngay\s+([0-9]{1,2})\s+thang\s+([0-9]{1,2})\s+nam\s+([0-9]{4})", r"([0-9]{1,2})\s*/\s*([0-9]{1,2})\s*/\s*([0-9]{4})", r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})"):
         day = _date(plain, p) if day is None else F.coalesce(day, _date(plain, p))
     month = r"thang\s+([0-9]{1,2})\s*(?:/|nam\s+)([0-9]{4})"
     in_month = F.when(plain.rlike(month), F.last_day(F.try_to_date(F.concat_ws("-", F.regexp_extract(plain, month, 2), F.lpad(F.regexp_extract(plain, month, 1), 2, "0"), F.lit("01")))))
@@ -161,13 +161,39 @@ def as_of(plain: Column, today: Column, session: Column | None = None) -> Column
     )
 
 
+# Phrases about a contract, in text without accents.
+_DAY = r"(?:ngay\s+)?([0-9]{1,2})\s*/\s*([0-9]{1,2})\s*/\s*([0-9]{4})"
+SIGNED = (r"ky(?:\s+ket)?\s+truoc\s+" + _DAY, r"ky(?:\s+ket)?\s+" + _DAY, r"ky(?:\s+ket)?\s+(?:trong\s+)?thang\s+([0-9]{1,2})\s*(?:/|nam\s+)([0-9]{4})", r"ky(?:\s+ket)?\s+(?:trong\s+)?nam\s+([0-9]{4})")
+UNAMENDED = r"(?:chua|khong)\s+(?:duoc\s+)?sua\s+doi(?:[,\s]+bo\s+sung)?(?:\s+(?:gi\s+)?(?:tu|sau)\s+" + _DAY + ")?"
+PERSON = r"khach\s+hang\s+(?:la\s+)?ca\s+nhan|ca\s+nhan\s+vay"
+COMPANY = r"khach\s+hang\s+(?:la\s+)?(?:phap\s+nhan|doanh\s+nghiep|to\s+chuc)|doanh\s+nghiep\s+vay"
+
+
 def signed_before(plain: Column) -> Column:
     """Upper bound of a signing date: before a date, that date's next day, the next month's or year's first day."""
-    date = r"(?:ngay\s+)?([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
-    month = r"ky\s+(?:trong\s+)?thang\s+([0-9]{1,2})\s*(?:/|nam\s+)([0-9]{4})"
-    year = r"ky\s+(?:trong\s+)?nam\s+([0-9]{4})"
+    before, on, month, year = SIGNED
     first = F.try_to_date(F.concat_ws("-", F.regexp_extract(plain, month, 2), F.lpad(F.regexp_extract(plain, month, 1), 2, "0"), F.lit("01")))
     return (
-        F.when(plain.rlike(r"ky\s+truoc\s+" + date), _date(plain, r"ky\s+truoc\s+" + date)).when(plain.rlike(r"ky\s+" + date), F.date_add(_date(plain, r"ky\s+" + date), 1))
+        F.when(plain.rlike(before), _date(plain, before)).when(plain.rlike(on), F.date_add(_date(plain, on), 1))
         .when(plain.rlike(month), F.add_months(first, 1)).when(plain.rlike(year), F.try_to_date(F.concat((F.regexp_extract(plain, year, 1).try_cast("int") + 1).cast("string"), F.lit("-01-01"))))
     )
+
+
+def cohort(plain: Column) -> Column:
+    """struct(contract_signed_before, not_amended_on_or_after, entity_class) that a question states; "not amended" without
+    a date holds from 1900 on."""
+    since = F.when(F.regexp_extract(plain, UNAMENDED, 1) == "", F.lit("1900-01-01").cast("date")).otherwise(_date(plain, UNAMENDED))
+    return F.struct(
+        signed_before(plain).alias("contract_signed_before"), F.when(plain.rlike(UNAMENDED), since).alias("not_amended_on_or_after"),
+        F.when(plain.rlike(PERSON), "ca_nhan").when(plain.rlike(COMPANY), "phap_nhan").alias("entity_class"),
+    )
+
+
+def without_cohort(plain: Column) -> Column:
+    """A question without what it says of the contract's dates: the first signing phrase there is, then the one about
+    amendments, wherever they are repeated."""
+    gone = lambda c, form: F.replace(c, F.regexp_extract(c, form, 0), F.lit(" "))
+    signed = F.lit(None).cast("string")
+    for form in reversed(SIGNED):
+        signed = F.when(plain.rlike(form), gone(plain, form)).otherwise(F.coalesce(signed, plain))
+    return F.when(signed.rlike(UNAMENDED), gone(signed, UNAMENDED)).otherwise(signed)

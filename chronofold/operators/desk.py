@@ -39,15 +39,40 @@ def provenance(ops: DataFrame, sources: DataFrame, batches: DataFrame, audiences
     return ops.join(seen, "source_artifact").join(batches, "batch_id", "left")
 
 
-def merge_extractions(rules: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer merge of two extractors' operators: agreement, the higher confidence, gaps filled from the
-    second, and a flag where both have dates that differ."""
-    r = rules.select(*keys, F.col("new_text").alias("rt"), F.col("valid_from").alias("rd"), F.col("confidence").alias("rc"), F.lit(True).alias("r"))
-    o = others.select(*keys, F.col("new_text").alias("ot"), F.col("valid_from").alias("od"), F.col("confidence").alias("oc"), F.lit(True).alias("o"))
+#: The note that a second extractor's operator hands on, and the flag of dates that differ.
+ON_AMENDMENT, DATE_FLAG = "target_is_amending_provision", "date_mismatch_rule_vs_llm"
+
+
+def merge_extractions(rules: DataFrame, others: DataFrame, enabled: bool = True) -> DataFrame:
+    """Operators of two extractors, once for each (doc_id, kind, target, part), the target being the path or else the
+    printed address in lower case. Both have doc_id, seq, kind, path, surface, part, new_text, valid_from,
+    valid_to_event, scope, confidence, extractor and notes.
+
+    A rule's operator keeps its text and date, even none; of several the last counts. Where the second extractor has it
+    too, they agree: the higher confidence, both names, what the rule lacks of valid_to_event and scope, the note
+    that the target is an amendment, and a flag for each date that differs. Operators of the second alone are its first,
+    with the highest confidence among repeats. With the second switched off nothing agrees."""
+    target = F.coalesce(F.nullif("path", F.lit("")), F.lower("surface"), F.lit(""))
+    keys = ["doc_id", "k", "t", "p"]
+    fields = ["seq", "kind", "path", "surface", "part", "new_text", "valid_from", "valid_to_event", "scope", "confidence", "extractor", "notes"]
+    row = F.struct(*fields)
+    keyed = lambda df: df.withColumn("k", F.coalesce("kind", F.lit(""))).withColumn("t", target).withColumn("p", F.coalesce("part", F.lit("")))
+    r = keyed(rules).groupBy(*keys).agg(F.max_by(row, "seq").alias("r"))
+    o = keyed(others).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("o"))
     m = r.join(o, keys, "full")
+    r, o, first = F.col("r"), F.coalesce("o", F.array().cast(dict(m.dtypes)["o"])), F.get("o", F.lit(0))
+    both = r.isNotNull() & F.col("o").isNotNull()
+    own = lambda c: F.when(r.isNotNull(), r[c]).otherwise(first[c]).alias(c)
+    # What the rule lacks comes from the first of the others that has it.
+    filled = lambda c: F.coalesce(F.nullif(r[c], F.lit("")), F.get(F.filter(F.transform(o, lambda x: x[c]), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0)), r[c])
+    flags = F.transform(F.filter(o, lambda x: F.coalesce(x["valid_from"] != r["valid_from"], F.lit(False))), lambda _: F.lit(DATE_FLAG))
+    late = lambda c, mine: F.when(r.isNotNull(), mine).otherwise(first[c]).alias(c)
     return m.select(
-        *keys, (F.col("r").isNotNull() & F.col("o").isNotNull()).alias("agree"), F.greatest("rc", "oc").alias("confidence"),
-        F.coalesce("rt", "ot").alias("new_text"), F.coalesce("rd", "od").alias("valid_from"), F.coalesce(F.col("rd") != F.col("od"), F.lit(False)).alias("date_mismatch"),
+        "doc_id", *[own(c) for c in ("seq", "kind", "path", "surface", "part", "new_text", "valid_from")], late("valid_to_event", filled("valid_to_event")), late("scope", filled("scope")),
+        F.greatest(r["confidence"], F.array_max(F.transform(o, lambda x: x["confidence"]))).alias("confidence"),
+        late("extractor", F.concat_ws("+", r["extractor"], F.transform(o, lambda x: x["extractor"]))),
+        late("notes", F.when(F.exists(o, lambda x: F.coalesce(x["notes"] == ON_AMENDMENT, F.lit(False))), ON_AMENDMENT).otherwise(r["notes"])),
+        (both & F.lit(enabled)).alias("agree"), F.coalesce(flags, F.array().cast("array<string>")).alias("red_flags"),
     )
 
 

@@ -148,9 +148,10 @@ _ASK = f"""{P}, q AS (SELECT id, question, {_at('question', 'ngay ([0-9]{1,2}) t
   CASE WHEN regexp_matches(question, 'nam [0-9]{{4}}') THEN make_date(CAST(regexp_extract(question, 'nam ([0-9]{{4}})', 1) AS INT), 12, 31) END AS yr FROM p)"""
 
 
-@query("m02_as_of", f"{_ASK} SELECT id, CASE WHEN question LIKE 'sap toi%' THEN DATE '{_TODAY}' ELSE CAST(coalesce(d1, d2, mo, yr, DATE '{_TODAY}') AS DATE) END AS as_of, CASE WHEN question LIKE 'sap toi%' THEN 'pending' WHEN coalesce(d1, d2) = DATE '{_TODAY}' THEN 'current' WHEN coalesce(d1, d2, mo, yr) IS NULL THEN 'current' ELSE 'point_in_time' END AS mode FROM q")
+@query("m02_as_of", f"{_ASK} SELECT id, CASE WHEN question LIKE 'sap toi%' OR signed THEN DATE '{_TODAY}' ELSE CAST(coalesce(d1, d2, mo, yr, DATE '{_TODAY}') AS DATE) END AS as_of, CASE WHEN question LIKE 'sap toi%' THEN 'pending' WHEN signed OR coalesce(d1, d2) = DATE '{_TODAY}' THEN 'current' WHEN coalesce(d1, d2, mo, yr) IS NULL THEN 'current' ELSE 'point_in_time' END AS mode FROM (SELECT *, question LIKE 'khoan vay ky%' AS signed FROM q) x")
 def m02(spark, d):
-    q = bound(spark, d, PAPERS).select("id", lg.as_of(F.col("question"), F.lit(_TODAY).cast("date")).alias("a"))
+    # The signing date is the loan's, not the question's: it is read and cut before the time is.
+    q = bound(spark, d, PAPERS).select("id", lg.as_of(lg.without_cohort(F.col("question")), F.lit(_TODAY).cast("date")).alias("a"))
     return q.select("id", "a.as_of", "a.mode")
 
 
@@ -243,12 +244,28 @@ def j12(spark, d):
 _TWO = f"{OPS_WITH}, r AS (SELECT node_id, seq, new_text, valid_from, CAST(0.5 AS DOUBLE) AS c FROM o WHERE seq % 3 <> 0), m AS (SELECT node_id, seq, concat(new_text, '*') AS new_text, CAST(valid_from + CAST(seq % 2 AS INT) AS DATE) AS valid_from, CAST(rnk AS DOUBLE) / 4 AS c FROM o WHERE seq % 4 <> 0)"
 
 
-@query("j22_merge", f"{_TWO} SELECT node_id, seq, r.c IS NOT NULL AND m.c IS NOT NULL AS agree, greatest(r.c, m.c) AS confidence, coalesce(r.new_text, m.new_text) AS new_text, coalesce(r.valid_from, m.valid_from) AS valid_from, coalesce(r.valid_from <> m.valid_from, FALSE) AS date_mismatch FROM r FULL JOIN m USING (node_id, seq)")
+_RULES = "SELECT l_orderkey AS doc_id, l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_returnflag = 'A' THEN 'amend' ELSE 'repeal' END AS kind, CASE WHEN l_linenumber % 2 = 0 THEN concat('dieu:', l_linenumber) END AS path, concat('Điều ', l_linenumber) AS surface, 'body' AS part, concat('r', l_partkey) AS new_text, CAST(l_shipdate AS DATE) AS valid_from, CASE WHEN l_suppkey % 3 = 0 THEN 'đến ngày sau' END AS valid_to_event, CASE WHEN l_suppkey % 4 = 0 THEN 'bank' END AS scope, l_discount AS confidence, 'rule' AS extractor, CASE WHEN l_suppkey % 5 = 0 THEN 'xem lại' END AS notes FROM lineitem WHERE l_linestatus = 'O'"
+_READ = "SELECT l_orderkey AS doc_id, l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_returnflag = 'A' THEN 'amend' ELSE 'repeal' END AS kind, CASE WHEN l_linenumber % 2 = 0 THEN concat('dieu:', l_linenumber) END AS path, upper(concat('Điều ', l_linenumber)) AS surface, 'body' AS part, concat('m', l_partkey) AS new_text, CAST(CAST(l_shipdate AS DATE) + CAST(l_partkey % 2 AS INT) AS DATE) AS valid_from, concat('đến ', l_partkey % 3) AS valid_to_event, 'all' AS scope, l_tax AS confidence, concat('m', l_partkey % 3) AS extractor, CASE WHEN l_partkey % 6 = 0 THEN 'target_is_amending_provision' ELSE 'khác' END AS notes FROM lineitem WHERE l_partkey % 3 > 0 OR l_linestatus = 'F'"
+_KEYS = "doc_id, kind, coalesce(path, lower(surface)) AS t"
+
+
+@query(
+    "j22_merge",
+    f"""
+WITH r AS (SELECT *, {_KEYS.split(', ', 2)[2]} FROM ({_RULES}) x QUALIFY row_number() OVER (PARTITION BY {_KEYS.replace(' AS t', '')} ORDER BY seq DESC) = 1),
+o AS (SELECT *, {_KEYS.split(', ', 2)[2]} FROM ({_READ}) x),
+g AS (SELECT doc_id, kind, t, max(confidence) AS c, min(struct_pack(seq, new_text, valid_from, valid_to_event, extractor, notes)) AS f, string_agg(extractor, '+' ORDER BY seq, new_text, valid_from) AS e, bool_or(notes = 'target_is_amending_provision') AS amends, list(valid_from) AS days FROM o GROUP BY ALL)
+SELECT doc_id, coalesce(r.seq, f.seq) AS seq, kind, t, CASE WHEN r.seq IS NULL THEN f.new_text ELSE r.new_text END AS new_text, CASE WHEN r.seq IS NULL THEN f.valid_from ELSE r.valid_from END AS valid_from,
+  coalesce(r.valid_to_event, f.valid_to_event) AS valid_to_event, coalesce(r.scope, CASE WHEN c IS NOT NULL THEN 'all' END) AS scope, greatest(r.confidence, c) AS confidence,
+  CASE WHEN r.seq IS NULL THEN f.extractor ELSE concat_ws('+', 'rule', e) END AS extractor, CASE WHEN r.seq IS NULL THEN f.notes WHEN amends THEN 'target_is_amending_provision' ELSE r.notes END AS notes,
+  r.seq IS NOT NULL AND c IS NOT NULL AS agree, CAST(CASE WHEN r.seq IS NULL THEN 0 ELSE coalesce(len(list_filter(days, lambda x: x <> r.valid_from)), 0) END AS INTEGER) AS flags
+FROM r FULL JOIN g USING (doc_id, kind, t)
+""",
+)
 def j22(spark, d):
-    o = bound(spark, d, OPS)
-    r = o.filter("seq % 3 <> 0").select("node_id", "seq", "new_text", "valid_from", F.lit(0.5).alias("confidence"))
-    m = o.filter("seq % 4 <> 0").select("node_id", "seq", F.concat("new_text", F.lit("*")).alias("new_text"), F.date_add("valid_from", F.col("seq") % 2).alias("valid_from"), (F.col("rnk") / 4).alias("confidence"))
-    return desk.merge_extractions(r, m, ["node_id", "seq"])
+    m = desk.merge_extractions(bound(spark, d, _RULES), bound(spark, d, _READ))
+    t = F.coalesce("path", F.lower("surface")).alias("t")
+    return m.select("doc_id", "seq", "kind", t, "new_text", "valid_from", "valid_to_event", "scope", "confidence", "extractor", "notes", "agree", F.size("red_flags").alias("flags"))
 
 
 @query("j26_guards", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -52,10 +53,53 @@ def test_as_of_and_signing_bounds(spark):
         assert str(one(spark, q, lg.signed_before)) == day, q
 
 
-def test_answer_events_and_merge(spark):
+def test_answer_events(spark):
     a = spark.createDataFrame([(1, ["x ", "y"], None, ["b"], "A")], "id int, tokens array<string>, citations array<string>, banners array<string>, tier string")
     assert [(r.event, r.data) for r in desk.answer_events(a).orderBy("ord").collect()] == [("meta", "1"), ("token", "x "), ("token", "y"), ("banner", "b"), ("tier", "A"), ("done", "")]
-    schema = "k int, new_text string, valid_from string, confidence double"
-    r, o = spark.createDataFrame([(1, None, "d", 0.2), (2, "r", None, 0.4)], schema), spark.createDataFrame([(1, "o", "e", 0.1), (3, "o", "e", 0.9)], schema)
-    got = {x.k: tuple(x)[1:] for x in desk.merge_extractions(r, o, ["k"]).collect()}
-    assert got == {1: (True, 0.2, "o", "d", True), 2: (False, 0.4, "r", None, False), 3: (False, 0.9, "o", "e", False)}
+
+
+OP = "doc_id int, seq int, kind string, path string, surface string, part string, new_text string, valid_from date, valid_to_event string, scope string, confidence double, extractor string, notes string"
+
+
+def plain_merge(rules, others):
+    """Operator by operator."""
+    key = lambda o: (o["doc_id"], o["kind"], o["path"] or (o["surface"] or "").lower(), o["part"])
+    out, ruled = {}, set()
+    for o in sorted(rules, key=lambda o: o["seq"]):
+        out[key(o)] = o | {"agree": False, "red_flags": []}
+        ruled.add(key(o))
+    for o in sorted(others, key=lambda o: o["seq"]):
+        have = out.get(key(o))
+        if have is None:
+            out[key(o)] = o | {"agree": False, "red_flags": []}
+            continue
+        have["confidence"] = max(have["confidence"], o["confidence"])
+        if key(o) in ruled:
+            have |= {"agree": True, "extractor": have["extractor"] + "+" + o["extractor"], "valid_to_event": have["valid_to_event"] or o["valid_to_event"], "scope": have["scope"] or o["scope"]}
+            if o["notes"] == desk.ON_AMENDMENT:
+                have["notes"] = o["notes"]
+            if o["valid_from"] and have["valid_from"] and o["valid_from"] != have["valid_from"]:
+                have["red_flags"] = have["red_flags"] + [desk.DATE_FLAG]
+    return sorted((tuple(str(x) for x in o.values()) for o in out.values()))
+
+
+def test_merge_is_that_of_one_operator_after_another(spark):
+    r = random.Random(3)
+    names = [x.split()[0] for x in OP.split(", ")]
+    op = lambda k, who: dict(zip(names, (r.randrange(2), k, r.choice(["amend", "repeal"]), r.choice([None, "dieu:1", "dieu:2"]), r.choice(["Điều 1", "điều 1", "Điều 3"]), r.choice(["body", "heading"]), r.choice([None, f"{who}{k}"]), r.choice([None, dt.date(2024, 1, 1), dt.date(2024, 2, 1)]), r.choice([None, f"e{k}"]), r.choice([None, "bank"]), k / 64, who, r.choice([None, "x", desk.ON_AMENDMENT]))))
+    rules, others = [op(k, "rule") for k in range(14)], [op(k, f"m{k}") for k in range(30)]
+    frame = lambda ops: spark.createDataFrame([tuple(o.values()) for o in ops], OP)
+    got = desk.merge_extractions(frame(rules), frame(others)).collect()
+    assert sorted(tuple(str(x[c]) for c in [*names, "agree", "red_flags"]) for x in got) == plain_merge(rules, others)
+    assert sum(x.agree for x in got) > 2 and not any(x.agree for x in desk.merge_extractions(frame(rules), frame(others), False).collect())
+
+
+def test_a_contract_is_read_and_cut_before_the_time(spark):
+    cases = {
+        "khoan vay ky truoc 1/7/2023 lai suat hien nay": ("2023-07-01", None, None, "2024-05-05"), "ky ket ngay 2 / 3 / 2022, chua sua doi tu 1/1/2020, tai 5/6/2021": ("2022-03-03", "2020-01-01", None, "2021-06-05"),
+        "khach hang la ca nhan ky thang 12/2021 nam 2022": ("2022-01-01", None, "ca_nhan", "2022-12-31"), "doanh nghiep vay chua sua doi": (None, "1900-01-01", "phap_nhan", "2024-05-05"), "tai 1/7/2023": (None, None, None, "2023-07-01"),
+    }
+    today = F.lit("2024-05-05").cast("date")
+    for q, want in cases.items():
+        c, t = one(spark, q, lg.cohort), one(spark, q, lambda c: lg.as_of(lg.without_cohort(c), today))
+        assert (*(str(x) if x else None for x in c), str(t.as_of)) == want, q
