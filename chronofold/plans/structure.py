@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import quotes as qt
 from ..functions import scope as sc
 from ..functions import surface as sf
 from ..operators import address as ad
+from ..operators import amend as am
 from ..operators import closure as cl
 from ..operators import contain as ct
 from ..operators import tree as tr
@@ -272,3 +274,51 @@ def v14_verify(spark, d):
     bases = docs.select("answer_id", F.concat(F.lit("["), F.col("answer_id") % 3, F.lit("]")).alias("ref"))
     out = vf.verify(answers, claims, bases, context)
     return out.withColumn("detail", F.md5(F.col("detail").cast("binary")))
+
+
+# ---------------------------------------------------------------- amendments
+
+_CLAUSES = """
+SELECT o_orderkey AS doc_id, 'dieu:1' AS path, DATE '2024-09-01' AS effective, concat(
+  CASE o_orderkey % 4 WHEN 0 THEN concat('Bổ sung khoản ', k, ', khoản ', k + 1, ' Điều ', d, ' như sau:', chr(10), '“', k, '. Bãi bỏ khoản 9 Điều 9', chr(10), 'a) điểm', chr(10), k + 1, '. Hai”.')
+    WHEN 1 THEN concat('Bãi bỏ điểm a và điểm b khoản ', k, ' Điều ', d, ' kể từ ngày 1/', o_orderkey % 12 + 1, '/2025.') WHEN 2 THEN concat('Thay thế cụm từ “cũ ', k, '” bằng cụm từ “mới” tại khoản ', k, ' Điều ', d, ' Thông tư số 39/2016/TT-NHNN.')
+    ELSE concat('Ngưng hiệu lực thi hành khoản ', k, ' Điều ', d, ' từ ngày 1 tháng 9 năm 2023 cho đến ngày có hiệu lực của văn bản mới') END,
+  chr(10), 'Sửa đổi khoản 3 Điều ', d, ' như sau: “3. Ba”') AS text
+FROM (SELECT o_orderkey, o_orderkey % 20 + 1 AS k, o_orderkey % 150 + 1 AS d FROM orders) x
+"""
+
+
+@query(
+    "p24_operators",
+    """
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 20 + 1 AS k, o_orderkey % 150 + 1 AS d, o_orderkey % 4 AS m, i FROM orders, unnest([0, 1, 2]) AS t(i)),
+x AS (SELECT *, i = 2 AS tail FROM o WHERE i <> 1 OR m < 2)
+SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) AS INTEGER) AS seq, CASE WHEN tail OR m = 2 THEN 'amend' WHEN m = 0 THEN 'insert' WHEN m = 1 THEN 'repeal' ELSE 'suspend' END AS kind,
+  concat('dieu:', d, '/khoan:', CASE WHEN tail THEN '3' WHEN m = 0 THEN CAST(k + i AS VARCHAR) WHEN m = 1 THEN concat(k, '/diem:', ['a', 'b'][i + 1]) ELSE CAST(k AS VARCHAR) END) AS target_path,
+  CASE WHEN m = 2 AND NOT tail THEN 'Thông tư số 39/2016/TT-NHNN' END AS document, CASE WHEN tail THEN '3. Ba' WHEN m = 0 AND i = 0 THEN concat(k, '. Bãi bỏ khoản 9 Điều 9', chr(10), 'a) điểm') WHEN m = 0 THEN concat(k + 1, '. Hai') END AS new_text,
+  CASE WHEN m = 2 AND NOT tail THEN concat('cũ ', k) END AS phrase_from, CASE WHEN tail THEN DATE '2024-09-01' WHEN m = 1 THEN make_date(2025, CAST(id % 12 + 1 AS INT), 1) WHEN m = 3 THEN DATE '2023-09-01' ELSE DATE '2024-09-01' END AS valid_from,
+  CASE WHEN m = 3 AND NOT tail THEN 'đến ngày có hiệu lực của văn bản mới' END AS valid_to_event
+FROM x
+""",
+)
+def p24(spark, d):
+    return am.operators(bound(spark, d, _CLAUSES)).select("doc_id", "seq", "kind", "target_path", "document", "new_text", "phrase_from", "valid_from", "valid_to_event")
+
+
+@query(
+    "p39_replacements",
+    """
+WITH o AS (SELECT l_partkey AS node_id, concat(l_orderkey, '.', l_linenumber, '.', l_suppkey, '.', l_shipdate) AS op_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS seq, concat('v', l_linenumber % 3) AS a, concat('v', l_suppkey % 3) AS b FROM lineitem),
+g AS (SELECT node_id, list(struct_pack(op_id, a, b) ORDER BY seq) AS ops FROM o GROUP BY 1),
+r AS (SELECT node_id, ops, unnest(range(1, len(ops) + 1)) AS i FROM g)
+SELECT node_id, ops[i].op_id AS op_id, t.old_text AS old_text, replace(t.old_text, ops[i].a, ops[i].b) AS new_text, contains(t.old_text, ops[i].a) AS found
+FROM (SELECT *, struct_pack(old_text := list_reduce(list_prepend(struct_pack(op_id := '', a := '', b := 'v0 v1 v2'), ops[1:i - 1]), lambda x, y: struct_pack(op_id := '', a := '', b := replace(x.b, y.a, y.b))).b) AS t FROM r)
+""",
+)
+def p39(spark, d):
+    """Each part's text under all its lines' replacements, in order of shipping."""
+    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
+    phrase = lambda c: F.concat(F.lit("v"), F.col(c) % 3)
+    ops = _t(spark, d, "lineitem").select(F.concat_ws(".", "l_orderkey", "l_linenumber", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("op_id"), F.col("l_partkey").alias("node_id"), F.row_number().over(w).alias("seq"), phrase("l_linenumber").alias("phrase_from"), phrase("l_suppkey").alias("phrase_to"))
+    bodies = ops.select("node_id").distinct().withColumn("body", F.lit("v0 v1 v2"))
+    return am.materialise(ops, bodies)
