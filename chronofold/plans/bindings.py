@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,11 +35,9 @@ FROM (SELECT l.*, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_ship
 """
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    views(spark, sf_dir)
+    """A binding over the tables of a folder; only those that it names are opened."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(sql)

@@ -39,7 +39,7 @@ def g01(spark, d):
     bound(spark, d, VERSIONS).withColumn("text", F.concat_ws(" ", "body", F.repeat(F.lit("word "), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 2500).otherwise(F.col("event_id") % 40).cast("int")))).createOrReplaceTempView("v")
     versions, edges = spark.table("v"), spark.sql(TYPED_EDGES)
     may = F.slice(F.array(F.lit("public"), F.lit("internal"), F.lit("restricted")), 1, (F.col("reader") + 1).cast("int"))
-    questions = spark.sql(QUESTIONS).withColumn("entitlements", may)
+    questions = bound(spark, d, QUESTIONS).withColumn("entitlements", may)
     number = F.regexp_extract("node_id", "[0-9]+", 0).cast("long")
     nodes = versions.select("node_id").distinct().select("node_id", F.concat(F.lit("doc"), number % 20).alias("doc_key"), F.concat(F.lit("dieu:"), number % 13).alias("path"), F.when(number % 9 == 0, "restricted").when(number % 4 == 0, "internal").otherwise("public").alias("audience"))
     wanted = questions.select("qid", "as_of", "c_custkey", F.explode(F.sequence(F.lit(1), (F.col("c_custkey") % 5 + 1).cast("int"))).alias("rank"))
