@@ -167,7 +167,7 @@ agg AS (SELECT node_id, a, any_value(b) AS b, max_by(new_text, (valid_from, seq)
 bad AS (SELECT DISTINCT node_id FROM agg WHERE issuers > 1)"""
 
 
-def _fold(spark: SparkSession, d: str) -> fo.Fold:
+def _parts_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Parts are nodes, line items are operators, supplier nations are issuers with rank nation % 5."""
     o = bound(spark, d, OPS)
     none = F.lit(None).cast("string")
@@ -182,7 +182,11 @@ def _fold(spark: SparkSession, d: str) -> fo.Fold:
     home = spark.createDataFrame([("home", "home", "home", "home")], "artifact_id string, doc_key string, doc_type string, issuer string").select("*", date.alias("issued_date"), date.alias("effective_date"), F.lit(False).alias("is_oracle"))
     rules = nation.select(F.lit(None).cast("string").alias("doc_type"), F.concat(F.lit("i"), "n_nationkey").alias("issuer"), (F.col("n_nationkey") % 5).alias("rank"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     nodes = _t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.lit("home").alias("artifact_id"), none.alias("heading"), none.alias("body"))
-    return fo.fold(nodes, ops, source.unionByName(home), rules)
+    return nodes, ops, source.unionByName(home), rules
+
+
+def _fold(spark: SparkSession, d: str) -> fo.Fold:
+    return fo.fold(*_parts_log(spark, d))
 
 
 @query("t10_fold_versions", f"""{_FOLD}, mark AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(body) OVER w IS NOT DISTINCT FROM body AND lag(status) OVER w = status AND lag(prov) OVER w = prov THEN 0 ELSE 1 END AS new
