@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 # Address units and their printed names.
@@ -11,6 +15,10 @@ UNITS = {"dieu": "Điều", "khoan": "khoản", "diem": "điểm", "tiet": "ti
 # The Vietnamese alphabet of point labels.
 LETTERS = "aăâbcdđeêghiklmnoôơpqrstuưvxy"
 
+# Tags that show a page, and tags that end a line.
+TAGGED = r"(?i)<(p|div|html|body|table|span|br)\b"
+BLOCKS = r"(?i)</?(p|div|tr|table|h[1-6]|li|ul|ol|br)[^>]*>"
+
 
 def squeeze(c: Column) -> Column:
     """White space runs to one space, trimmed; null to ''."""
@@ -22,10 +30,17 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[\t    ]+", " "), " (?=\n)| $", "")
 
 
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references decoded in one pass; Spark has no function for them."""
+    return texts.map(unescape, na_action="ignore")
+
+
 def strip_html(c: Column) -> Column:
-    """Block tags to line breaks, other tags to spaces, where a text has tags at all."""
-    blocks = F.regexp_replace(c, r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|h[1-6])[^>]*>", "\n")
-    return F.when(c.rlike(r"(?i)<(?:p|div|br|li|h[1-6])[ />]"), F.regexp_replace(blocks, "<[^>]+>", " ")).otherwise(c)
+    """Block tags to line breaks, other tags to spaces, then character references decoded, in texts that hold a tag of
+    pages at all; other texts stay as they are."""
+    page = F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")) & c.rlike(TAGGED)
+    return F.when(page, unescaped(F.regexp_replace(F.regexp_replace(c, BLOCKS, "\n"), "<[^>]+>", " "))).otherwise(c)
 
 
 def tokens(c: Column) -> Column:

@@ -242,10 +242,24 @@ def t28(spark, d):
     return sn.oracle_diff(t.filter("doc_id % 3 <> 0"), t.filter("doc_id % 4 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))))
 
 
-@query("t26_sweep", f"{OPS_WITH} SELECT sha1(concat(op_id, '|', 'doc', s_suppkey)) AS proposal_id, op_id, concat('doc', s_suppkey) AS doc_key, DATE '2000-01-01' + CAST(s_suppkey % 300 AS INT) AS valid_from FROM o JOIN supplier ON node_id = concat('p', s_suppkey) WHERE valid_to IS NULL AND s_acctbal > 0")
+SWEPT = """
+SELECT concat('doc', s_suppkey) AS doc_key, concat('p', s_suppkey) AS node_id, s_acctbal > 0 AS normative, s_suppkey % 13 = 5 AS is_oracle,
+  CASE WHEN s_suppkey % 17 <> 3 THEN CAST(DATE '2000-01-01' + CAST(s_suppkey % 300 AS INT) AS DATE) END AS effective_date,
+  concat('Circular ', s_suppkey) AS title, concat('replaces (', s_suppkey * 7 % 1500, '/2016/TT), ', CASE WHEN s_suppkey % 50 = 4 THEN 'amends 39/2016/TT-NHNN; ' ELSE '' END, 'and others') AS text
+FROM supplier
+"""
+#: An operator's source is named after its part, and each tenth quotes a watched document.
+WAITING = "SELECT op_id, node_id, concat(substr(node_id, 2), '/2016/TT') AS source_key, 'new rules' AS predicate, CASE WHEN seq % 10 = 0 THEN 'until 39/2016/TT-NHNN is replaced' END AS quote FROM o WHERE valid_to IS NULL"
+
+
+@query("t26_sweep", f"""{OPS_WITH}, w AS ({WAITING}), d AS (SELECT * FROM ({SWEPT}) WHERE normative AND NOT is_oracle AND effective_date IS NOT NULL),
+m AS (SELECT key, doc_key FROM (SELECT DISTINCT source_key AS key FROM w UNION SELECT '39/2016/TT-NHNN') JOIN d ON contains(concat(title, ' ', text), key)),
+c AS (SELECT op_id, doc_key, 1 AS rule FROM w JOIN d USING (node_id) UNION ALL SELECT op_id, doc_key, 2 FROM w JOIN m ON source_key = key UNION ALL SELECT op_id, doc_key, 3 FROM w JOIN m ON key = '39/2016/TT-NHNN' WHERE contains(quote, '39/2016/TT-NHNN'))
+SELECT sha1(concat(op_id, '|', doc_key)) AS proposal_id, op_id, doc_key, effective_date AS valid_from, CAST(min(rule) AS INT) AS rule FROM c JOIN d USING (doc_key) GROUP BY op_id, doc_key, effective_date""")
 def t26(spark, d):
-    docs = bound(spark, d, "SELECT concat('p', s_suppkey) AS node_id, concat('doc', s_suppkey) AS doc_key, s_acctbal > 0 AS normative, DATE '2000-01-01' + CAST(s_suppkey % 300 AS INT) AS effective_date FROM supplier")
-    return gv.sweep(bound(spark, d, OPS).filter("valid_to is null").select("op_id", "node_id"), docs)
+    docs, ops = bound(spark, d, SWEPT), bound(spark, d, OPS)
+    waiting = ops.filter("valid_to is null").select("op_id", "node_id", F.expr("concat(substr(node_id, 2), '/2016/TT')").alias("source_key"), F.lit("new rules").alias("predicate"), F.expr("CASE WHEN seq % 10 = 0 THEN 'until 39/2016/TT-NHNN is replaced' END").alias("quote"))
+    return gv.sweep(waiting, docs, docs.select("doc_key", "node_id")).select("proposal_id", "op_id", "doc_key", "valid_from", "rule")
 
 
 @query("j14_as_of_join", "SELECT o_orderkey, (SELECT max_by(event_id, (ts, event_id)) FROM events e WHERE e.user_id = o_custkey % 150 AND e.ts <= TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INT))) AS event_id FROM orders")
@@ -412,10 +426,15 @@ def x27(spark, d):
     return _t(spark, d, "documents").filter(F.col("text").rlike("[0-9]")).select("doc_id", F.array_sort(tx.digit_runs(F.col("text"))).alias("runs"))
 
 
-@query("x02_strip_html", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|br|li|ul|ol|tr|td|h[1-6])[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
+#: The character references of the driver's pages; a longer list would add nothing.
+_PLAIN = "regexp_replace(regexp_replace(html, '(?i)</?(p|div|tr|table|h[1-6]|li|ul|ol|br)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+for _e, _c in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_e}', '{_c}', 'g')"
+
+
+@query("x02_strip_html", f"SELECT page_id, md5(CASE WHEN contains(html, '<') AND contains(html, '>') AND regexp_matches(html, '(?i)<(p|div|html|body|table|span|br)\\b') THEN {_PLAIN} ELSE html END) AS digest FROM pages")
 def x02(spark, d):
-    p = _t(spark, d, "pages")
-    return p.select("page_id", F.md5(tx.squeeze(tx.strip_html(F.col("html"))).cast("binary")).alias("digest"))
+    return _t(spark, d, "pages").select("page_id", F.md5(tx.strip_html(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query("x32_cut_words", "WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE concat(regexp_extract(t, '^(.{0,80})(?:\\s|$)', 1), '…') END AS quote FROM s")
