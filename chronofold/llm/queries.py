@@ -64,7 +64,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.drop("n_factors", "longest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

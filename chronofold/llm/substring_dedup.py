@@ -11,8 +11,9 @@ starts in a document with a smaller doc_id goes; windows are judged on the input
    entry for each phrase and task, so a passage that a third of all documents share is a row per task.
 3. All documents' phrases are looked up in one block after another; then each document is factored greedily
    from left to right: a factor goes on as long as the next phrase's place continues the same reference document.
-4. At the boundaries of factors phrases differ, but windows may still be equal: first places of phrases whose
-   anchor has several phrases are looked up again window by window. They lengthen factors or become new ones.
+4. At the boundaries of factors phrases differ, but windows may still be equal: in a phrase's first document, all its
+   places whose anchor has several phrases are looked up again window by window. They lengthen factors or become
+   new ones.
 
 A phrase holds a whole window or more, so every factor is long enough to be a duplicate span.
 
@@ -159,14 +160,14 @@ def factors(start: np.ndarray, count: np.ndarray, ref_doc: np.ndarray, ref_start
 
 def _look_up(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One reference block, indexed, and all documents' phrases looked up in it: (doc_id, place, ref_doc, ref_place) of
-    those that start in a smaller doc_id, and (doc_id, place) of first places whose anchor has other phrases."""
+    those that start in a smaller doc_id, and (doc_id, place) of all places in a phrase's first document, where its
+    anchor has other phrases: the phrase may stand there several times, and in several rows of that doc_id."""
     index = found.groupBy("phrase").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place"), F.first("anchor").alias("anchor"))
     index = cut(index)
-    shared = index.filter("last > ref_doc").select("phrase", "ref_doc", "ref_place")
-    matched = cut(found.select("phrase", "doc_id", "place").join(shared, "phrase").filter("doc_id > ref_doc").select("doc_id", "place", "ref_doc", "ref_place"))
     mixed = index.groupBy("anchor").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b"), F.min("ref_doc").alias("c"), F.max("ref_doc").alias("d")).filter("a < b and c < d")
-    open_ = cut(index.join(mixed, "anchor", "left_semi").select(F.col("ref_doc").alias("doc_id"), F.col("ref_place").alias("place")), index)
-    return matched, open_
+    asked = index.join(mixed.select("anchor", F.lit(True).alias("mixed")), "anchor", "left").filter("mixed or last > ref_doc").select("phrase", "ref_doc", "ref_place", "mixed")
+    met = cut(found.select("phrase", "doc_id", "place").join(asked, "phrase").filter("doc_id > ref_doc or mixed").select("doc_id", "place", "ref_doc", "ref_place"), index)
+    return met.filter("doc_id > ref_doc"), met.filter("doc_id = ref_doc").select("doc_id", "place")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -184,9 +185,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     windows = cut(_window_rows(keyed.join(places, "doc_id"), window))
     firsts = windows.groupBy("digit").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place")).filter("last > ref_doc").drop("last")
     single = cut(windows.join(firsts, "digit").filter("doc_id > ref_doc").select("doc_id", "place", "ref_doc", "ref_place"), windows)
-    for _, x in blocks:
-        uncut(x)
-
     marks = matched.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("place", "ref_doc", "ref_place")).alias("marks"))
     joined = keyed.join(marks, "doc_id", "left")
 

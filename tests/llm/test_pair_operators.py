@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from chronofold.llm import alignment, hard_negatives, substring_dedup
+from chronofold.llm.queries import QUERIES
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,6 +60,25 @@ def test_substring_dedup_against_all_windows(spark):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_passages_that_repeat_within_their_first_document(spark, tmp_path):
+    """A boundary phrase that stands several times in its first document, or in several rows of it, whose windows also
+    start in a smaller doc_id under another phrase."""
+    rows = []
+    for k in range(12):
+        passage = words(40, 100 + k)
+        start = 3 + k
+        piece = passage[start : start + 13 + k % 4]
+        rows.append((10 * k + 1, " ".join(passage)))
+        rows.append((10 * k + 2, " ".join(["x", *piece, "y", *words(9, 200 + k), "x", *piece, "y"])))
+        rows += [(10 * k + 3, " ".join(["p", *piece, "q", *words(k, 300 + k)])), (10 * k + 3, " ".join([*words(k, 400 + k), "p", *piece, "q"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    got = substring_dedup.dedup(docs).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(brute_substrings(rows), key=key)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op13_substring_dedup"](spark, str(tmp_path)).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
 def test_phrases_cover_every_window_once_in_blocks_of_any_size(monkeypatch):
     r = np.random.default_rng(3)
     h = r.integers(0, 9, 900).astype(np.uint64)
