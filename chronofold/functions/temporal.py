@@ -60,12 +60,20 @@ def tiling_problems(versions: DataFrame, node: str = "node_id", scope: str = "sc
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """left rows with the right row of equal keys whose window holds left.at; the latest start wins.
-    An equi-join on the keys carries the range condition, so it never is a nested loop."""
-    l = left.withColumn("_row", F.monotonically_increasing_id())
+    Both sides lie on one time line of their key, where a row takes the last window that started. Only rows whose last
+    window has ended are joined, with windows that outlive a later start; windows that follow each other have none."""
     fields = [c for c in right.columns if c not in keys]
-    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(F.col(start).alias("_start"), *fields).alias("_hit"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    hit = l.join(r, on, "left")
-    inside = (F.col("_hit._start") <= F.col(at)) & (F.col(f"_hit.{end}").isNull() | (F.col(at) < F.col(f"_hit.{end}")))
-    best = hit.groupBy("_row", *left.columns).agg(F.max(F.when(inside, F.col("_hit"))).alias("_hit"))
-    return best.select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in fields if c not in left.columns])
+    r = right.filter(" and ".join(f"`{c}` is not null" for c in (*keys, start))).select(*keys, F.struct(F.col(start).alias("_start"), *fields).alias("_hit"))
+    later = F.lead("_hit._start").over(Window.partitionBy(*keys).orderBy("_hit"))
+    outlives = r.withColumn("_next", later).filter(F.col("_next").isNotNull() & (F.col(f"_hit.{end}").isNull() | (F.col(f"_hit.{end}") > F.col("_next"))))
+    line = left.select(*keys, F.col(at).alias("_at"), F.struct(*left.columns).alias("_l"))
+    line = line.unionByName(r.select(*keys, F.col("_hit._start").alias("_at"), "_hit"), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_at", F.col("_l").isNotNull(), "_hit").rowsBetween(Window.unboundedPreceding, 0)
+    rows = line.withColumn("_hit", F.last("_hit", True).over(w)).filter("_l is not null").select("_l", "_hit")
+    covered = F.col(f"_hit.{end}").isNull() | (F.col("_l")[at] < F.col(f"_hit.{end}"))
+    ended = rows.filter(~covered).select("_l", F.monotonically_increasing_id().alias("_row"))
+    on = [F.col("_l")[k] == F.col(f"_{k}") for k in keys]
+    inside = (F.col("_hit._start") <= F.col("_l")[at]) & (F.col(f"_hit.{end}").isNull() | (F.col("_l")[at] < F.col(f"_hit.{end}")))
+    again = ended.join(outlives.select(*[F.col(k).alias(f"_{k}") for k in keys], "_hit"), on, "left").groupBy("_row").agg(F.first("_l").alias("_l"), F.max(F.when(inside, F.col("_hit"))).alias("_hit"))
+    best = rows.filter(covered).unionByName(again.select("_l", "_hit"))
+    return best.select("_l.*", *[F.col(f"_hit.{c}").alias(c) for c in fields if c not in left.columns])
