@@ -24,25 +24,32 @@ def resolve(asks: DataFrame, aliases: DataFrame, nodes: DataFrame, ancestors: bo
 
     covered: the alias in force at the date, the latest if several; future: the only alias that starts later;
     provisional: the only node born at the address. Several that are equally good are tied and resolve to nothing.
-    ancestors: where the address itself finds nothing, not even a tie, the longest prefix that does counts; path says
+    Question ids are unique. ancestors: where the address itself finds nothing, not even a tie, the longest prefix that does counts; path says
     which."""
-    paths = F.explode(path_prefixes(F.col("path"))) if ancestors else F.col("path")
-    tried = asks.select("ask_id", "doc_key", "at", F.col("path").alias("asked"), paths.alias("path"))
-    named = tried.join(aliases.select("doc_key", "path", "node_id", "valid_from", "valid_to").distinct(), ["doc_key", "path"])
+    # Each address and date is looked up once, however many ask for it. Of the aliases that start later only the last
+    # start of an address can be alone; those in force are counted by their windows, not one by one.
+    where = ["doc_key", "path"]
+    paths = F.explode(path_prefixes(F.col("asked"))) if ancestors else F.col("asked")
+    asked = asks.select("ask_id", "doc_key", "at", F.col("path").alias("asked"))
+    looked = asked.select("doc_key", "at", "asked").distinct().filter("at is not null").select("doc_key", "at", "asked", paths.alias("path"))
+    days = looked.select(*where, "at").distinct()
+    named = aliases.select(*where, "node_id", "valid_from", "valid_to").distinct().filter("valid_from is not null")
+    windows = named.groupBy(*where, "valid_from", "valid_to").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
     covers = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    rows = named.filter(covers).select("ask_id", "path", F.lit(1).alias("step"), "valid_from", "node_id")
-    rows = rows.unionByName(named.filter(F.col("valid_from") > F.col("at")).select("ask_id", "path", F.lit(2).alias("step"), F.lit(None).cast("date").alias("valid_from"), "node_id"))
-    born = tried.filter(F.col("at").isNotNull()).join(nodes.select("doc_key", "path", "node_id").distinct(), ["doc_key", "path"])
-    rows = rows.unionByName(born.select("ask_id", "path", F.lit(3).alias("step"), F.lit(None).cast("date").alias("valid_from"), "node_id"))
-    # Of each step, how many candidates are as good as the best.
-    best = rows.groupBy("ask_id", "path", "step", "valid_from").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
-    best = best.groupBy("ask_id", "path", "step").agg(F.max_by(F.struct("n", "node_id"), F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))).alias("b"))
+    at_start = days.join(windows, where).filter(covers).groupBy(*where, "at", "valid_from").agg(F.sum("n").alias("n"), F.min("node_id").alias("node_id"))
+    now = at_start.groupBy(*where, "at").agg(F.max_by(F.struct("n", "node_id"), "valid_from").alias("b")).select(*where, "at", F.lit(1).alias("step"), "b.*")
+    starts = windows.groupBy(*where, "valid_from").agg(F.sum("n").alias("n"), F.min("node_id").alias("node_id"))
+    order = Window.partitionBy(*where).orderBy("valid_from")
+    last = starts.withColumn("before", F.lag("valid_from").over(order)).withColumn("next", F.lead("valid_from").over(order)).filter("next is null and n = 1")
+    future = days.join(last, where).filter("at < valid_from and (before is null or before <= at)").select(*where, "at", F.lit(2).alias("step"), "n", "node_id")
+    alone = nodes.select(*where, "node_id").distinct().groupBy(*where).agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).filter("n = 1")
+    born = days.join(alone, where).select(*where, "at", F.lit(3).alias("step"), "n", "node_id")
+    best = now.unionByName(future).unionByName(born)
     # A tie in force stops the cascade; several future aliases or births only leave their step.
-    stops = best.filter((F.col("step") == 1) | (F.col("b")["n"] == 1))
     rank = F.struct((-F.length("path")).alias("short"), "step")
-    found = stops.groupBy("ask_id").agg(F.min_by(F.struct("path", "step", F.col("b")["n"].alias("n"), F.col("b")["node_id"].alias("node_id")), rank).alias("f"))
+    found = looked.join(best, [*where, "at"]).groupBy("doc_key", "at", "asked").agg(F.min_by(F.struct("path", "step", "n", "node_id"), rank).alias("f"))
     how = F.when(F.col("f")["n"] > 1, "tied").when(F.col("f")["path"] != F.col("asked"), "ancestor").otherwise(F.element_at(F.array(*map(F.lit, STEPS)), F.col("f")["step"]))
-    out = asks.select("ask_id", F.col("path").alias("asked")).join(found, "ask_id", "left")
+    out = asked.join(found, ["doc_key", "at", "asked"], "left")
     return out.select("ask_id", F.when(F.col("f")["n"] == 1, F.col("f")["node_id"]).alias("node_id"), F.when(F.col("f").isNotNull(), how).alias("how"), F.col("f")["path"].alias("path"))
 
 
@@ -51,18 +58,23 @@ def find_document(asks: DataFrame, docs: DataFrame) -> DataFrame:
     document of that date; else the only one whose title holds the hint or, if longer than eight letters, stands in it.
     docs(doc_key, issued, title)."""
     keys = docs.select("doc_key").distinct()
-    exact = asks.join(keys, F.col("number") == F.col("doc_key")).select("ask_id", "doc_key")
+    exact = asks.join(keys.hint("merge"), F.col("number") == F.col("doc_key")).select("ask_id", "doc_key")
     rest = asks.filter(F.coalesce("number", F.lit("")) == "")
     only = F.count_distinct("doc_key") == 1
     alone = lambda pairs: pairs.groupBy("ask_id").agg(F.when(only, F.min("doc_key")).alias("doc_key")).filter("doc_key is not null")
     dated = alone(rest.join(docs.select("doc_key", F.col("issued").alias("day")), F.col("issued") == F.col("day")).select("ask_id", "doc_key"))
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
     open_ = rest.join(dated, "ask_id", "left_anti").filter(plain("hint") != "")
-    hints, titles = open_.select("ask_id", plain("hint").alias("hint")), docs.select("doc_key", plain("title").alias("title")).filter("title <> ''").distinct()
-    inside = containing(hints.select(F.col("ask_id").alias("pattern_id"), F.col("hint").alias("pattern")), titles.select(F.col("doc_key").alias("text_id"), F.col("title").alias("text")))
-    around = containing(titles.filter(F.length("title") > 8).select(F.col("doc_key").alias("pattern_id"), F.col("title").alias("pattern")), hints.select(F.col("ask_id").alias("text_id"), F.col("hint").alias("text")))
-    pairs = inside.select(F.col("pattern_id").alias("ask_id"), F.col("text_id").alias("doc_key")).unionByName(around.select(F.col("text_id").alias("ask_id"), F.col("pattern_id").alias("doc_key")))
-    found = exact.unionByName(dated).unionByName(alone(pairs))
+    # Equal hints and equal titles meet once; a title stands for the smallest and largest of its documents' keys.
+    open_ = open_.select("ask_id", plain("hint").alias("hint"))
+    titles = docs.select("doc_key", plain("title").alias("title")).filter("title <> '' and doc_key is not null").groupBy("title").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"))
+    hints = open_.select("hint").distinct()
+    inside = containing(hints.select(F.col("hint").alias("pattern_id"), F.col("hint").alias("pattern")), titles.select(F.col("title").alias("text_id"), F.col("title").alias("text")))
+    around = containing(titles.filter(F.length("title") > 8).select(F.col("title").alias("pattern_id"), F.col("title").alias("pattern")), hints.select(F.col("hint").alias("text_id"), F.col("hint").alias("text")))
+    pairs = inside.select(F.col("pattern_id").alias("hint"), F.col("text_id").alias("title")).unionByName(around.select(F.col("text_id").alias("hint"), F.col("pattern_id").alias("title")))
+    named = pairs.join(titles, "title").groupBy("hint").agg(F.min("low").alias("doc_key"), F.max("high").alias("high")).filter("doc_key = high")
+    by_hint = open_.join(named, "hint").groupBy("ask_id").agg(F.min("doc_key").alias("doc_key"), F.max("doc_key").alias("high")).filter("doc_key = high").select("ask_id", "doc_key")
+    found = exact.unionByName(dated).unionByName(by_hint)
     return asks.select("ask_id").join(found, "ask_id", "left")
 
 
