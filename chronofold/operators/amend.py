@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.legal import parse_date, unquote
-from ..functions.quotes import _places, quote_block, quoted_spans, quoted_units
+from ..functions.quotes import _places, let, quote_block, quoted_spans, quoted_units
 from ..functions.surface import references, sentence_at
 
 # How directives are printed, by kind; the first group is what they reach.
@@ -49,11 +49,12 @@ def directives(clauses: DataFrame) -> DataFrame:
         return F.transform(_places(F.col("text"), form), lambda p: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["at"].alias("at"), p["mark"].alias("mark"), F.regexp_extract(F.substring(F.col("text"), p["at"] + 1, F.length(F.col("text"))), form, 1).alias("reach")))
 
     every = F.flatten(F.array(*[found(rank, kind, form) for rank, (kind, form) in enumerate(DIRECTIVES)]))
-    rows = clauses.withColumn("_spans", quoted_spans(F.col("text"))).withColumn("_all", every)
-    quoted = lambda x: F.exists("_spans", lambda s: (s["start"] <= x["at"]) & (x["at"] < s["stop"]))
-    rows = rows.withColumn("_all", F.filter("_all", lambda x: ~quoted(x)))
-    inside = lambda x: F.exists("_all", lambda y: (y["rank"] < x["rank"]) & (y["at"] <= x["at"]) & (x["at"] < y["at"] + F.length(y["mark"])))
-    rows = rows.select(*clauses.columns, F.explode(F.filter("_all", lambda x: ~inside(x))).alias("x"))
+    quoted = lambda x, spans: F.exists(spans, lambda s: (s["start"] <= x["at"]) & (x["at"] < s["stop"]))
+    loose = let(quoted_spans(F.col("text")), lambda spans: F.filter(every, lambda x: ~quoted(x, spans)))
+    inside = lambda x, all_: F.exists(all_, lambda y: (y["rank"] < x["rank"]) & (y["at"] <= x["at"]) & (x["at"] < y["at"] + F.length(y["mark"])))
+    own = let(loose, lambda all_: F.filter(all_, lambda x: ~inside(x, all_)))
+    # Outer: what an inner explode is of would be worked out again to drop the rows without any.
+    rows = clauses.select(*clauses.columns, F.explode_outer(own).alias("x")).filter("x is not null")
     block = F.when(F.col("x.kind").isin("insert", "amend"), quote_block(F.col("text"), F.col("x.at") + F.length("x.mark") - 1)["block"])
     return rows.select("doc_id", "path", "effective", "x.kind", "x.at", "x.mark", "x.reach", sentence_at(F.col("text"), F.col("x.at")).alias("sentence"), block.alias("block"))
 
@@ -70,7 +71,7 @@ def operators(clauses: DataFrame) -> DataFrame:
     targets = F.flatten(F.transform("_groups", lambda g: F.transform(g["paths"], lambda p: F.struct(p.alias("path"), g["document"].alias("document")))))
     none = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("document")))
     rows = rows.withColumn("_targets", F.when((F.col("kind") == "phrase") & (F.size(F.coalesce(targets, F.array().cast("array<struct<path:string,document:string>>"))) == 0), none).otherwise(targets))
-    rows = rows.withColumn("_n", F.size("_targets")).withColumn("_units", quoted_units(F.col("block"))).select("*", F.posexplode("_targets").alias("_i", "t"))
+    rows = rows.withColumn("_n", F.size("_targets")).withColumn("_units", quoted_units(F.col("block"))).select("*", F.posexplode_outer("_targets").alias("_i", "t")).filter("_i is not null")
     last = F.substring_index("t.path", "/", -1)
     unit = F.get(F.filter("_units", lambda u: F.concat(u["level"], F.lit(":"), u["label"]) == last), F.lit(0))["text"]
     text = F.when(F.col("block").isNotNull(), F.coalesce(unit, F.when(F.col("_n") == 1, unquote(F.col("block")))))
