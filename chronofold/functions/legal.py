@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import squeeze
+from .text import by_pieces, squeeze
 
 # Type codes of document numbers.
 TYPE_CODES = ["TT", "TTLT", "NĐ", "ND", "QĐ", "QD", "NQ", "QH", "CT", "PL", "UBTVQH", "L", "TB", "VBHN"]
@@ -37,15 +37,15 @@ _SLASH = r"ngày\s+([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 _LIMIT = r"(?iu)(?:tối\s*đa|không\s*vượt\s*quá)[^0-9%]{0,80}?([0-9]+(?:[.,][0-9]+)?)\s*%\s*/\s*năm"
 
 
-@F.pandas_udf(StringType())
-def nfc(c: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def nfc(c: pa.Array) -> pa.Array:
     """Composed form of a text; Spark has no function for it."""
-    return c.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+    return by_pieces(lambda s: None if s is None else unicodedata.normalize("NFC", s), pa.string(), c)
 
 
-@F.pandas_udf(StringType())
-def _bare(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)))
+@F.arrow_udf(StringType())
+def _bare(c: pa.Array) -> pa.Array:
+    return by_pieces(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)), pa.string(), c)
 
 
 def strip_diacritics(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,10 +32,30 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[\t    ]+", " "), " (?=\n)| $", "")
 
 
-@F.pandas_udf(StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
+#: Bytes of rows that are Python objects at once.
+PIECE = 1 << 22
+
+
+def by_pieces(f: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """f of each row of the columns, null for None. Only some rows at a time are Python objects, which take several times
+    the room that they have in a batch; a row is never cut."""
+    texts = [c for c in columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+    size = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in texts), 0)
+    size = size + sum(c.nbytes // max(len(c), 1) for c in columns if not any(c is t for t in texts))
+    out, lo, held = [pa.array([], kind)], 0, 0
+    for hi, n in enumerate(size.tolist()):
+        if hi > lo and held + n > PIECE:
+            out.append(pa.array([f(*x) for x in zip(*[c.slice(lo, hi - lo).to_pylist() for c in columns])], kind))
+            lo, held = hi, 0
+        held += n
+    out.append(pa.array([f(*x) for x in zip(*[c.slice(lo).to_pylist() for c in columns])], kind))
+    return pa.concat_arrays(out)
+
+
+@F.arrow_udf(StringType())
+def unescaped(texts: pa.Array) -> pa.Array:
     """Character references decoded in one pass; Spark has no function for them."""
-    return texts.map(unescape, na_action="ignore")
+    return by_pieces(lambda s: None if s is None else unescape(s), pa.string(), texts)
 
 
 def strip_html(c: Column) -> Column:
