@@ -36,6 +36,20 @@ def _bounds(q: str, t: str, starts: np.ndarray, size: int) -> np.ndarray:
     return 2.0 * shared / (len(q) + stops - starts)
 
 
+def _possible(q: str, t: str, starts: np.ndarray, size: int, step: int, least: float) -> np.ndarray:
+    """Whether each window of t can reach `least`, by the letters of the blocks of a step that cover it: one pass over
+    the text for all letters. A window that can is never left out."""
+    letters, own = np.frombuffer(t.encode("utf-32-le"), np.uint32), np.unique(np.frombuffer(q.encode("utf-32-le"), np.uint32))
+    code = np.searchsorted(own, letters).clip(max=len(own) - 1)
+    held = own[code] == letters
+    blocks = len(letters) // step + 1
+    counts = np.bincount((np.arange(len(letters)) // step * len(own) + code)[held], minlength=blocks * len(own)).reshape(blocks, len(own))
+    upto = np.concatenate([np.zeros((1, len(own)), np.int64), np.cumsum(counts, 0)])
+    stops = np.minimum(starts + size, len(letters))
+    shared = np.minimum(upto[np.minimum(-(-stops // step), blocks)] - upto[starts // step], [q.count(chr(c)) for c in own]).sum(1)
+    return 2.0 * shared / (len(q) + stops - starts) >= least
+
+
 def best_ratio(quote: str | None, text: str | None, least: float = 0.0) -> float:
     """1 if the quotation stands in the text whatever the case and blanks; else the best ratio of it with windows of its
     length and a step more, a step being a fifth of it and ten letters at least. 0 if either is empty. Windows that can't
@@ -55,7 +69,8 @@ def best_ratio(quote: str | None, text: str | None, least: float = 0.0) -> float
     if len(t.lower()) != len(t) or len(low) != len(q):
         bounds = np.ones(len(starts))
     else:
-        bounds = _bounds(low, t.lower(), starts, len(q) + step)
+        starts = starts[_possible(low, t.lower(), starts, len(q) + step, step, least)]
+        bounds = _bounds(low, t.lower(), starts, len(q) + step) if len(starts) else np.zeros(0)
     for s in starts[bounds >= ENOUGH].tolist():
         if (r := ratio(t[s : s + len(q) + step])) >= ENOUGH:
             return r

@@ -54,3 +54,20 @@ def test_each_failure_of_an_answer(spark):
         (2, "null", "quote_mismatch", "mười chữ cái ở đây"), (2, "none", "ref_outside_context", "no source"), (3, "", "ref_outside_context", "[1]"),
     ])
     assert vf.verify(*[f.limit(0) for f in frames]).count() == 0
+
+
+def test_windows_that_cannot_reach_are_left_out_before_letters_are_summed(monkeypatch):
+    import random
+
+    from chronofold.operators import verify as vf
+
+    rnd, summed, exact = random.Random(4), [], vf._bounds
+    monkeypatch.setattr(vf, "_bounds", lambda q, t, starts, size: summed.append(len(starts)) or exact(q, t, starts, size))
+    for k in range(300):
+        text = "".join(rnd.choice("abcdeé ghij") for _ in range(rnd.randrange(30, 400)))
+        at = rnd.randrange(len(text) - 20)
+        quote = "".join(rnd.choice("xyz") if rnd.random() < 0.04 else c for c in text[at : at + rnd.randrange(11, 60)])
+        full, bound = vf.best_ratio(quote, text), vf.best_ratio(quote, text, vf.FUZZY)
+        assert bound == full if full >= vf.FUZZY else bound < vf.FUZZY, (quote, text)
+    summed.clear()
+    assert vf.best_ratio("w" * 40, "abc " * 500, vf.FUZZY) == 0.0 and not summed
