@@ -9,8 +9,8 @@
    lines at similarity 0.8 share a band with probability 0.95, at 0.85 with 0.987, at 0.9 with 0.998.
 3. In each band every line meets the band's first line, then a few others that it is not linked with yet.
    Distributed union-find joins what links; at last all pairs of a band that are still in different
-   components meet, if a parity sketch, which never calls two sets further apart than they are, allows the
-   threshold. Nothing is capped.
+   components meet, in the first band that they share, if a parity sketch, which never calls two sets further
+   apart than they are, allows the threshold. Nothing is capped.
 4. Pairs whose signatures agree in AGREE places at least (at similarity 0.8 all but 0.2 %) are verified by
    exact Jaccard on whole shingle sets, and union-find keeps the first line (by doc_id, then line) of each
    component.
@@ -122,6 +122,11 @@ def near(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(a + "n") + F.col(b + "n"))
 
 
+def first_shared(a: str, b: str) -> Column:
+    """Whether a band is the first one that two lines share: true in one of their bands, however many they share."""
+    return F.element_at(F.array_intersect(f"{a}bands", f"{b}bands"), 1) == F.col(f"{a}band")
+
+
 def explode_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, at, ord, id, more, norm) of every line that is not blank; id and more are 128 bits of its hash."""
     lines = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"], F.posexplode(F.split(F.lower(docs["text"]), "\n")).alias("at", "line"))
@@ -205,12 +210,13 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     # Only lines with a candidate need a parity sketch.
     some = x.join(y, apart, "left_semi").select(F.col("xid").alias("id")).distinct()
     facts = cut(parities(near_texts.join(some, "id").select("id", "norm")))
-    seats = cut(here.join(facts, "id"), here)
+    seats = cut(here.join(facts, "id").join(sketches.select(*at, "bands"), at), here)
     uncut(facts)
-    known += ["n", *[f"p{j}" for j in range(PARITY)]]
+    known += ["n", *[f"p{j}" for j in range(PARITY)], "bands"]
     x, y = _side(seats.filter("root <> major"), "x", *known), _side(seats, "y", *known)
     once = (F.col("xid") < F.col("yid")) | (F.col("yroot") == F.col("ymajor"))
-    rest = x.join(y, apart & once & near("x", "y", percent))
+    # Near lines share several bands, and meet in the first of them alone: if that is a band of two, they have met.
+    rest = x.join(y, apart & once & near("x", "y", percent) & first_shared("x", "y"))
     merge(rest.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")))
     for used in (seats, sketches, near_texts):
         uncut(used)

@@ -456,3 +456,14 @@ def test_license_notices_with_an_edit_at_an_end():
     for text, label in [("mit licenses", "mit"), ("mit licensed", "mit"), ("apache licenses", "apache"), ("gnu general public licenses", "gpl")]:
         assert fuzzy.spans(f"the {text}.".encode()) == [(label, 4, 4 + len(text), 1)]
     assert fuzzy.spans(b"permit license") == [] and fuzzy.spans(b"the mit license") == [("mit", 4, 15, 0)]
+
+
+def test_near_lines_meet_in_one_of_the_bands_they_share(spark):
+    from chronofold.llm import line_dedup
+
+    lines = spark.createDataFrame([(1, [11, 12, 13, 14]), (2, [11, 22, 13, 14]), (3, [31, 12, 33, 14]), (4, [41, 42, 43, 44])], "id long, bands array<long>")
+    x, y = (lines.select(F.col("id").alias(p + "id"), F.col("bands").alias(p + "bands"), F.explode("bands").alias(p + "band")) for p in ("x", "y"))
+    every = x.join(y, (F.col("xband") == F.col("yband")) & (F.col("xid") < F.col("yid")))
+    assert every.count() == 6
+    met = every.filter(line_dedup.first_shared("x", "y")).select("xid", "yid", "xband").collect()
+    assert sorted(map(tuple, met)) == [(1, 2, 11), (1, 3, 12), (2, 3, 14)]
