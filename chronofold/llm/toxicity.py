@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Words disguised by leetspeak, spacing or repetition become character lattices: a sign stands for one of
-its letters, a run of a letter for one or two of it, spaced letters for one word or several. Viterbi search with a
-small beam finds the likeliest readings under a character trigram model counted over all documents.
+its letters, a run of a letter for one or two of it, spaced letters for one word or several. Viterbi search over
+states of two letters finds the likeliest readings, exactly, under a character trigram model counted over all documents.
 The readings join the text, and the restored text is scored by words and word beginnings that training
 documents of label 1 have and others lack; scores are calibrated to probabilities on training rows.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,9 @@ SAMPLE_ROWS = 20_000
 LEAST_DOCS, LEAST_SHARE = 3, 0.002
 #: Lengths in bytes of the word beginnings that count beside whole words.
 PREFIXES = (4, 5, 6)
-BEAM = 8
 #: Readings of a disguised word that join the text.
 READINGS = 3
-#: Disguised strings of more runs of equal characters (keys, digests) are left as they are.
+#: Spaced strings of more runs of equal characters are read in windows of so many, too.
 LONGEST = 32
 THRESHOLD = 0.3
 
@@ -51,6 +51,8 @@ _DISGUISE = re.compile(
 _TOKEN = re.compile(rf"[a-z{_SIGN}]")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1*")
+#: Texts are told apart by a polynomial hash.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 
 
 def _classes() -> np.ndarray:
@@ -105,37 +107,58 @@ class Channel:
         return out
 
     def decode(self, token: str, spaced: bool = False) -> list[str]:
-        """The likeliest readings, best first; none for strings of more than LONGEST runs. Spaced letters
-        are read in windows that overlap by half."""
+        """The likeliest readings, best first. Long strings of spaced letters are read as a whole, and in windows that
+        overlap by half, each with readings of its own."""
         runs = [m[0] for m in _RUN.finditer(token)]
         if len(runs) <= LONGEST:
-            return self._decode(token, runs, spaced)
+            if (token, spaced) not in self.cache:
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
+                self.cache[token, spaced] = self._decode(runs, spaced)
+            return self.cache[token, spaced]
         half = LONGEST // 2
         parts = (runs[i : i + LONGEST] for i in range(0, len(runs) - half, half)) if spaced else ()
-        return [x for part in parts for x in self._decode("".join(part), part, spaced)]
+        return self._decode(runs, spaced) + [x for part in parts for x in self.decode("".join(part), spaced)]
 
-    def _decode(self, token: str, runs: list[str], spaced: bool) -> list[str]:
-        if (token, spaced) in self.cache:
-            return self.cache[token, spaced]
-        beam = [(0.0, 0, 0, "")]
+    def _decode(self, runs: list[str], spaced: bool) -> list[str]:
+        """What a reading costs from a place on depends on its last two letters alone: each state keeps its READINGS best
+        texts, so no text that could be among the best ones at the end is lost. Texts are chains of their pieces, told
+        apart by a hash, so a string of any length takes time in proportion."""
         cost = self.cost
+        states = {(0, 0): [(0.0, 0, None)]}
         for options in self.lattice(runs, spaced):
-            grown: dict[tuple[int, int, str], tuple] = {}
-            for total, a, b, text in beam:
+            grown: dict[tuple[int, int], list[tuple]] = {}
+            for (a, b), best in states.items():
                 for o in options:
-                    t, x, y = total, a, b
+                    x, y, more, code, shift = a, b, 0.0, 0, 1
                     for ch in o:
                         k = 0 if ch == " " else ord(ch) - 96
-                        t, x, y = t + cost[x][y][k], y, k
-                    if (x, y, text + o) not in grown or grown[x, y, text + o][0] > t:
-                        grown[x, y, text + o] = (t, x, y, text + o)
-            beam = sorted(grown.values())[: BEAM * (4 if spaced else 1)]
-        best = sorted((t + cost[x][y][0], text) for t, x, y, text in beam)[:READINGS]
-        found = [text for _, text in best]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        self.cache[token, spaced] = found
-        return found
+                        more, x, y = more + cost[x][y][k], y, k
+                        code, shift = (code * _BASE + k + 1) % _PRIME, shift * _BASE % _PRIME
+                    grown.setdefault((x, y), []).extend([(t + more, (h * shift + code) % _PRIME, (chain, o)) for t, h, chain in best])
+            states = {at: self._best(some) for at, some in grown.items()}
+        ends = self._best([(t + cost[x][y][0], h, chain) for (x, y), some in states.items() for t, h, chain in some])
+        out = []
+        for _, _, chain in ends:
+            text: list[str] = []
+            while chain is not None:
+                chain, o = chain
+                text.append(o)
+            out.append("".join(reversed(text)))
+        return out
+
+    @staticmethod
+    def _best(some: list[tuple]) -> list[tuple]:
+        """The READINGS likeliest of different texts."""
+        if len(some) == 1:
+            return some
+        kept: dict[int, tuple] = {}
+        for one in sorted(some, key=itemgetter(0, 1)):
+            if one[1] not in kept:
+                kept[one[1]] = one
+                if len(kept) == READINGS:
+                    break
+        return list(kept.values())
 
     def restore(self, text: str) -> str:
         """Lower-cased text, followed by the readings of its disguised words."""

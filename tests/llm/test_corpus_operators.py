@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version or a round trip, with awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -451,6 +452,29 @@ def test_toxicity_reads_every_kind_of_disguise():
     assert channel.restore("plain words, (1) 2024!") == "plain words, (1) 2024!" and channel.restore("") == ""
 
 
+def test_toxicity_readings_are_the_likeliest_of_all():
+    rng = random.Random(10)
+    channel = toxicity.Channel(np.array([rng.choice([0, 0, 1, 50]) for _ in range(28**3)]))
+
+    def likeliest(token, spaced):
+        runs = [m[0] for m in toxicity._RUN.finditer(token)]
+        costs = {}
+        for parts in itertools.product(*channel.lattice(runs, spaced)):
+            text, x, y, total = "".join(parts), 0, 0, 0.0
+            for ch in text + " ":
+                k = 0 if ch == " " else ord(ch) - 96
+                total, x, y = total + channel.cost[x][y][k], y, k
+            costs[text] = total
+        return costs
+
+    for n, spaced in [(8, False)] * 40 + [(4, True)] * 20:
+        token = "".join(rng.choice(["1", "11", "|", "s", "ss", "$$", "3", "aa", "@@", "ll"]) for _ in range(n))
+        costs, got = likeliest(token, spaced), channel.decode(token, spaced)
+        assert len(set(got)) == len(got) and np.allclose([costs[x] for x in got], sorted(costs.values())[: toxicity.READINGS]), token
+    # No length is too long to be read.
+    assert re.fullmatch("(worthless?)+", channel.decode("w0rthl3ss" * 9)[0]) and len(channel.decode("a1" * 20_000)[0]) == 40_000
+
+
 def test_license_notices_with_an_edit_at_an_end():
     fuzzy = license_scan._Fuzzy(license_scan.PHRASES)
     for text, label in [("mit licenses", "mit"), ("mit licensed", "mit"), ("apache licenses", "apache"), ("gnu general public licenses", "gpl")]:
