@@ -12,7 +12,7 @@
    components meet, in the first band that they share, if a parity sketch, which never calls two sets further
    apart than they are, allows the threshold. Nothing is capped.
 4. Pairs whose signatures agree in AGREE places at least (at similarity 0.8 all but 0.2 %) are verified by
-   exact Jaccard on whole shingle sets, and union-find keeps the first line (by doc_id, then line) of each
+   Jaccard on whole shingle sets (as 64-bit hashes), and union-find keeps the first line (by doc_id, then line) of each
    component.
 
 Lines are compared trimmed and lower-cased; blank lines always stay and null texts stay null. Rows
@@ -27,6 +27,7 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, fresh, uncut
 from .graph import components
@@ -65,7 +66,7 @@ _SKETCH = [f"s{i}" for i in range(0, SIDE * SIDE, _PACK)]
 
 
 def shingles(line: Column) -> Column:
-    """The distinct shingles of a line; one at least."""
+    """The distinct shingles of a line; one at least. Pairs are verified on their `hashes`, which are made several times faster."""
     found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
     return F.when(F.length(line) >= GRAM, F.array_distinct(found)).otherwise(F.array(line))
 
@@ -77,6 +78,15 @@ def grams(lines: DataFrame) -> DataFrame:
     return places.select("id", "at", F.xxhash64(F.expr(f"substring(u, 4 * at + 1, {4 * GRAM})")).alias("h"))
 
 
+def hashes(line: Column) -> Column:
+    """The hash of the shingle at each place of a line, repeats included. The text is a variable of the outer function, so
+    it is encoded once, not for each place."""
+    width, step = F.lit(4 * GRAM), F.lit(4)
+    at = lambda u: F.sequence(F.lit(0), F.greatest((F.octet_length(u) / step).cast("int") - GRAM, F.lit(0)))
+    each = lambda u: F.transform(at(u), lambda i: F.xxhash64(F.substring(u, step * i + 1, width)))
+    return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), each))
+
+
 def _minima(shingles: DataFrame, kind: int) -> DataFrame:
     low = shingles.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_MASKS)])
     return low.withColumn("kind", F.lit(kind))
@@ -110,7 +120,7 @@ def agreement(a: str, b: str) -> Column:
 def parities(lines: DataFrame) -> DataFrame:
     """lines(id, norm) to (id, n, parity columns): the number of distinct shingles, and for each of 64 * PARITY
     buckets whether an odd number of them is in it."""
-    distinct = lines.select("id", F.explode(shingles(F.col("norm"))).alias("g")).select("id", F.xxhash64("g").alias("h"))
+    distinct = lines.select("id", F.explode(F.array_distinct(hashes(F.col("norm")))).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1))
     return distinct.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)])
@@ -144,13 +154,15 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     texts is a cut, and deleted as soon as only lines that share a band are needed."""
     sketches = cut(signatures(texts.select("id", "norm")))
     keyed = sketches.select("id", "kind", F.explode("bands").alias("band"))
-    crowded = keyed.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("c")).filter("lead <> last")
-    crowded = cut(crowded.select("band", "lead", "c"))
-    seats = cut(keyed.join(crowded, "band"), crowded)
+    # One shuffle finds the bands of several lines and their seats; a band's rows may spill.
+    here = Window.partitionBy("band")
+    crowded = keyed.select("*", F.min("id").over(here).alias("lead"), F.max("id").over(here).alias("last"), F.count("*").over(here).alias("c"))
+    seats = cut(crowded.filter("lead <> last").drop("last"))
     at = ["id", "kind"]
     # From here on only lines that share a band.
     some = seats.select("id").distinct()
     near_texts = cut(texts.select("id", "first", "norm").join(some, "id", "left_semi"), texts)
+    sketches = cut(sketches.join(some, "id", "left_semi"), sketches)
     edges: DataFrame | None = None
     root: DataFrame | None = None
 
@@ -160,7 +172,7 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
         pairs = cut(pairs.select("a", "b").distinct())
         # Texts meet, not sets: a set is many times its text, and would be shuffled and sorted with each pair.
         x, y = (near_texts.select(F.col("id").alias(i), F.col("first").alias(n), F.col("norm").alias(n + "t")) for i, n in (("a", "x"), ("b", "y")))
-        both = pairs.join(x, "a").join(y, "b").select("x", "y", shingles(F.col("xt")).alias("xs"), shingles(F.col("yt")).alias("ys"))
+        both = pairs.join(x, "a").join(y, "b").select("x", "y", F.array_distinct(hashes(F.col("xt"))).alias("xs"), F.array_distinct(hashes(F.col("yt"))).alias("ys"))
         same = F.size(F.array_intersect("xs", "ys"))
         # Written with its verdict, so that no set is made once for the filter and again for a column.
         verdicts = cut(both.select(F.col("x").alias("a"), F.col("y").alias("b"), ((100 + percent) * same >= percent * (F.size("xs") + F.size("ys"))).alias("ok")), pairs)

@@ -413,6 +413,15 @@ def test_parities_never_call_lines_further_apart_than_they_are(spark):
     assert all(got[i] == grams(t) for i, t in enumerate(lines))
 
 
+def test_line_hashes_tell_shingles_apart_as_their_texts_do(spark):
+    lines = [words(n, n) for n in (1, 3, 30, 300)] + ["ab", "aaaaaaaaaaaa", "đ" * 7 + "😀" * 3 + "\ufeff" * 3 + "ab", "x\n y" * 3]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    h = {x.id: x.h for x in df.select("id", line_dedup.hashes(F.col("norm")).alias("h")).collect()}
+    assert all(len(h[i]) == max(1, len(t) - 4) and len(set(h[i])) == len(grams(t)) for i, t in enumerate(lines))
+    some = {x.id: x.h for x in line_dedup.grams(df).groupBy("id").agg(F.collect_list("h").alias("h")).collect()}
+    assert all(Counter(some[i]) == Counter(h[i]) for i in h)
+
+
 def test_line_dedup_takes_extra_columns_of_any_name(spark):
     rows = [(1, "same line here\nx", "a", 1, "b", "c"), (2, "same line here\ny", "d", 2, "e", "f"), (None, "same line here\nz", "g", 3, "h", "i")]
     df = spark.createDataFrame(rows, "doc_id long, text string, gone string, id int, kept string, doc string")
