@@ -139,8 +139,8 @@ def first_shared(a: str, b: str) -> Column:
 
 def explode_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, at, ord, id, more, norm) of every line that is not blank; id and more are 128 bits of its hash."""
-    lines = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"], F.posexplode(F.split(F.lower(docs["text"]), "\n")).alias("at", "line"))
-    lines = lines.withColumn("norm", F.trim("line", F.lit(WHITE))).filter("norm <> ''")
+    lines = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"], F.posexplode(F.transform(F.split(F.lower(docs["text"]), "\n"), lambda x: F.trim(x, F.lit(WHITE)))).alias("at", "norm"))
+    lines = lines.filter("norm <> ''")  # trimmed within the array: once, not for the filter and again for each column
     order = F.col("doc_id").cast("decimal(20,0)") * F.lit(SHIFT).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
     return lines.select("doc_id", "at", order.cast("decimal(38,0)").alias("ord"), F.xxhash64("norm").alias("id"), F.xxhash64(F.lit("more"), "norm").alias("more"), "norm")
 
@@ -161,8 +161,9 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     at = ["id", "kind"]
     # From here on only lines that share a band.
     some = seats.select("id").distinct()
-    near_texts = cut(texts.select("id", "first", "norm").join(some, "id", "left_semi"), texts)
+    # Sketches first: texts, which take the most disk while they are shuffled, then find theirs gone.
     sketches = cut(sketches.join(some, "id", "left_semi"), sketches)
+    near_texts = cut(texts.select("id", "first", "norm").join(some, "id", "left_semi"), texts)
     edges: DataFrame | None = None
     root: DataFrame | None = None
 
@@ -249,11 +250,13 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Lines that occur once and lead their component need no second look.
     loose = cut(firsts.filter("n > 1 or first <> best").select("id", "more", "n", "best"))
     keys = lines.select("doc_id", "at", "ord", "id", "more")
-    # At most HOT lines are more than a HOT-th of all lines each.
+    # At most HOT lines are more than a HOT-th of all lines each. They take the other join with a key of their own place,
+    # which spreads them and matches nothing: documents are read and cut once for both joins.
     hot = F.broadcast(loose.filter(F.col("n") > most).select("id", "more", F.col("best").alias("hot")))
     keys = keys.join(hot, ["id", "more"], "left")
-    out = keys.filter("hot is null").drop("hot").join(loose.filter(F.col("n") <= most).drop("n"), ["id", "more"])
-    out = out.unionByName(keys.filter("hot is not null").withColumnRenamed("hot", "best"))
+    keys = keys.withColumn("key", F.when(F.col("hot").isNull(), F.col("id")).otherwise(F.xxhash64("doc_id", "at"))).drop("id")
+    cold = loose.filter(F.col("n") <= most).select(F.col("id").alias("key"), "more", "best", F.lit(True).alias("cold"))
+    out = keys.withColumn("cold", F.col("hot").isNull()).join(cold, ["key", "more", "cold"], "left").withColumn("best", F.coalesce("hot", "best"))
     return out.filter("ord <> best").select("doc_id", "at")
 
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from chronofold.llm import alignment, hard_negatives, substring_dedup
+from chronofold.llm import alignment, hard_negatives, line_dedup, substring_dedup
 from chronofold.llm.queries import QUERIES
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,3 +206,24 @@ def test_hard_negatives_against_all_pairs(spark, monkeypatch, scale):
     else:  # scores beyond a long: the nearest longs
         assert all(abs(r.negative_score) < 1 << 63 for r in got)
     assert hard_negatives.mine(v.limit(0)).count() == 0
+
+
+def test_common_and_rare_lines_are_found_in_one_pass_over_the_documents(spark, tmp_path):
+    """A line that is most of all lines, lines that come twice, blank and padded ones: every repeat goes, and the documents are read once for both joins."""
+    r = random.Random(5)
+    rare = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=30)) for _ in range(1100)]
+    lines = rare + ["The common line"] * 900 + [f"  {x.upper()}\t" for x in rare[::2]] + ["", " \t"]
+    r.shuffle(lines)
+    rows = [(k, "\n".join(lines[50 * k : 50 * k + 50])) for k in range(len(lines) // 50 + 1)]
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    out = line_dedup.repeats(spark.read.parquet(path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(",text#") == 1
+    seen, want = set(), set()
+    for doc_id, text in rows:
+        for at, line in enumerate(text.split("\n")):
+            key = line.strip().lower()
+            if key in seen:
+                want.add((doc_id, at))
+            seen.update([key] * bool(key))
+    assert {tuple(x) for x in out.collect()} == want and len(want) > 1400
