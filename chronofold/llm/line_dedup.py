@@ -161,7 +161,7 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     at = ["id", "kind"]
     # From here on only lines that share a band.
     some = seats.select("id").distinct()
-    # Sketches first: texts, which take the most disk while they are shuffled, then find theirs gone.
+    # Sketches first, so that the whole ones are gone while texts are shuffled.
     sketches = cut(sketches.join(some, "id", "left_semi"), sketches)
     near_texts = cut(texts.select("id", "first", "norm").join(some, "id", "left_semi"), texts)
     edges: DataFrame | None = None
