@@ -58,11 +58,17 @@ def unescaped(texts: pa.Array) -> pa.Array:
     return by_pieces(lambda s: None if s is None else unescape(s), pa.string(), texts)
 
 
-def strip_html(c: Column) -> Column:
+def strip_html(c: Column, references: tuple[tuple[str, str], ...] | None = None) -> Column:
     """Block tags to line breaks, other tags to spaces, then character references decoded, in texts that hold a tag of
-    pages at all; other texts stay as they are."""
+    pages at all; other texts stay as they are. references: only these, as (pattern, character) in their order; all of
+    HTML, with those that need no semicolon, where there is no such list."""
     page = F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")) & c.rlike(TAGGED)
-    return F.when(page, unescaped(F.regexp_replace(F.regexp_replace(c, BLOCKS, "\n"), "<[^>]+>", " "))).otherwise(c)
+    plain = F.regexp_replace(F.regexp_replace(c, BLOCKS, "\n"), "<[^>]+>", " ")
+    if references is None:
+        plain = unescaped(plain)
+    for printed, character in references or ():
+        plain = F.regexp_replace(plain, printed, character)
+    return F.when(page, plain).otherwise(c)
 
 
 def tokens(c: Column) -> Column:
