@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from chronofold.operators import address as ad
 from chronofold.operators import graph as gr
 
@@ -20,6 +22,21 @@ def test_where_used_gives_each_pair_once_and_shuffles_none(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_where_used_makes_its_pairs_in_many_tasks(spark):
+    """One artifact's operators and sources are few rows and many pairs: these are made in as many tasks as cores at
+    least, whatever Spark makes of small shuffles."""
+    edges = spark.range(3000).selectExpr("concat('p', id) AS src", "'s1' AS dst", "'n1' AS dst_norm")
+    targets = spark.range(2500).selectExpr("concat('o', id) AS op_id", "'s2' AS node_id", "'a' AS artifact_id")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        got = gr.where_used(edges, targets, spark.createDataFrame([("n1", "a")], "norm_id string, artifact_id string"))
+        made = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sum(made) == 7_500_000 and max(made) < 7_500_000
+
+
 def test_questions_of_one_address_and_date_look_it_up_once(spark):
     """The join with the aliases has a row for each date and window of an address, not for each question and alias."""
     day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
