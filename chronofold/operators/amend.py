@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.legal import parse_date, unquote
 from ..functions.quotes import _places, let, quote_block, quoted_spans, quoted_units
 from ..functions.surface import references, sentence_at
+from ..sources.scratch import stage
 
 # How directives are printed, by kind; the first group is what they reach.
 DIRECTIVES = (
@@ -45,6 +46,11 @@ def validity(sentence: Column, effective: Column) -> Column:
 def directives(clauses: DataFrame) -> DataFrame:
     """(doc_id, path, kind, at, mark, reach, sentence, block): every directive of a clause outside quotations. One that
     starts inside another one before it in the list of kinds is part of that."""
+    return _directives(clauses, "doc_id", "path", "effective")
+
+
+def _directives(clauses: DataFrame, *columns: str) -> DataFrame:
+    """The same with these columns of the clauses."""
     def found(rank: int, kind: str, form: str) -> Column:
         return F.transform(_places(F.col("text"), form), lambda p: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["at"].alias("at"), p["mark"].alias("mark"), F.regexp_extract(F.substring(F.col("text"), p["at"] + 1, F.length(F.col("text"))), form, 1).alias("reach")))
 
@@ -56,7 +62,7 @@ def directives(clauses: DataFrame) -> DataFrame:
     # Outer: what an inner explode is of would be worked out again to drop the rows without any.
     rows = clauses.select(*clauses.columns, F.explode_outer(own).alias("x")).filter("x is not null")
     block = F.when(F.col("x.kind").isin("insert", "amend"), quote_block(F.col("text"), F.col("x.at") + F.length("x.mark") - 1)["block"])
-    return rows.select("doc_id", "path", "effective", "x.kind", "x.at", "x.mark", "x.reach", sentence_at(F.col("text"), F.col("x.at")).alias("sentence"), block.alias("block"))
+    return rows.select(*columns, "x.kind", "x.at", "x.mark", "x.reach", sentence_at(F.col("text"), F.col("x.at")).alias("sentence"), block.alias("block"))
 
 
 def operators(clauses: DataFrame) -> DataFrame:
@@ -66,7 +72,8 @@ def operators(clauses: DataFrame) -> DataFrame:
     A replacement of phrases amends each unit it names; without any it is one flagged operator. Insertions and amendments
     take the quoted unit with their target's label, a sole target the whole block; a target without its unit is
     flagged. Directives of other kinds without a target order nothing here."""
-    rows = directives(clauses)
+    # Equal texts are read once, and their operators joined to the clauses: texts are far slower to read than to compare.
+    rows = _directives(clauses.select("text").filter("text is not null").distinct(), "text")
     rows = rows.withColumn("_groups", references(F.col("reach")))
     targets = F.flatten(F.transform("_groups", lambda g: F.transform(g["paths"], lambda p: F.struct(p.alias("path"), g["document"].alias("document")))))
     none = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("document")))
@@ -75,15 +82,23 @@ def operators(clauses: DataFrame) -> DataFrame:
     last = F.substring_index("t.path", "/", -1)
     unit = F.get(F.filter("_units", lambda u: F.concat(u["level"], F.lit(":"), u["label"]) == last), F.lit(0))["text"]
     text = F.when(F.col("block").isNotNull(), F.coalesce(unit, F.when(F.col("_n") == 1, unquote(F.col("block")))))
-    when = validity(F.col("sentence"), F.col("effective"))
     flag = F.when(F.col("t.path").isNull(), NO_TARGET).when(F.col("kind").isin("insert", "amend") & text.isNull(), NO_UNIT)
-    w = Window.partitionBy("doc_id").orderBy("path", "at", "_i")
     phrase = lambda k: F.when(F.col("kind") == "phrase", F.regexp_extract("mark", PHRASES, k))
-    return rows.withColumn("_v", when).select(
-        "doc_id", F.col("path").alias("source_path"), F.row_number().over(w).alias("seq"), F.when(F.col("kind") == "phrase", "amend").otherwise(F.col("kind")).alias("kind"),
-        F.col("t.path").alias("target_path"), F.col("t.document").alias("document"), text.alias("new_text"), phrase(1).alias("phrase_from"), phrase(2).alias("phrase_to"), "_v.valid_from", "_v.valid_to", "_v.valid_to_event",
+    entry = F.struct(
+        "at", "_i", F.when(F.col("kind") == "phrase", "amend").otherwise(F.col("kind")).alias("kind"), F.col("t.path").alias("target_path"), F.col("t.document").alias("document"), text.alias("new_text"),
+        phrase(1).alias("phrase_from"), phrase(2).alias("phrase_to"), "_v.valid_from", "_v.valid_to", "_v.valid_to_event",
         F.when(flag.isNotNull(), 0.3).otherwise(0.85).alias("confidence"), F.when(flag.isNotNull(), F.array(flag)).otherwise(F.array().cast("array<string>")).alias("red_flags"),
     )
+    # The document's own date comes in where the sentence has none: it is the clause's, not the text's.
+    made = rows.withColumn("_v", validity(F.col("sentence"), F.lit(None).cast("date"))).select("text", entry.alias("o"))
+    read = stage(made.groupBy("text").agg(F.collect_list("o").alias("_ops")))
+    # Left: the clauses stay where they are, whichever side is smaller, if the texts read are few enough to be sent to them.
+    ordered = clauses.select("doc_id", "path", "effective", "text").join(read, "text", "left").select("doc_id", "path", "effective", F.explode_outer("_ops").alias("o")).filter("o is not null")
+    w = Window.partitionBy("doc_id").orderBy("path", "o.at", "o._i")
+    return ordered.select(
+        "doc_id", F.col("path").alias("source_path"), F.row_number().over(w).alias("seq"), "o.kind", "o.target_path", "o.document", "o.new_text", "o.phrase_from", "o.phrase_to",
+        F.coalesce("o.valid_from", "effective").alias("valid_from"), "o.valid_to", "o.valid_to_event", "o.confidence", "o.red_flags",
+    )
 
 
 def materialise(ops: DataFrame, bodies: DataFrame) -> DataFrame:

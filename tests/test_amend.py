@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from chronofold.operators import amend as am
+from chronofold.sources import scratch
 
 C = "doc_id int, path string, text string, effective date"
 DAY = dt.date(2024, 9, 1)
@@ -72,3 +73,22 @@ def test_replacements_meet_the_text_as_amended(spark):
         now[n] = old.replace(a, b or "") if found else old
         want.add((n, k, old, now[n], found))
     assert {tuple(x) for x in got} == want
+
+
+def test_equal_texts_are_read_once(spark):
+    """Rows that directives are looked for in are distinct texts; each clause still has its own operators and date."""
+    text = "Bãi bỏ khoản 1 Điều 2; sửa đổi khoản 3 Điều 4 như sau: “3. Ba”"
+    day = lambda i: dt.date(2024, 1, 1 + i % 28)
+    rows = [(i, p, text, day(i)) for i in range(300) for p in ("dieu:1", "dieu:2")] + [(999, "dieu:1", None, day(1)), (0, "dieu:3", "Bãi bỏ khoản 5 Điều 6 từ ngày 1/3/2025.", None)]
+    got = am.operators(spark.createDataFrame(rows, C)).collect()
+    own = lambda d: sorted((o.seq, o.source_path, o.kind, o.target_path, o.valid_from) for o in got if o.doc_id == d)
+    assert own(0)[-1] == (5, "dieu:3", "repeal", "dieu:6/khoan:5", dt.date(2025, 3, 1)) and own(999) == []
+    assert own(7) == [(k + 1, f"dieu:{k // 2 + 1}", *(("repeal", "dieu:2/khoan:1"), ("amend", "dieu:4/khoan:3"))[k % 2], day(7)) for k in range(4)]
+    assert len(got) == 1201
+    read = []
+    before, am.stage = am.stage, lambda df: read.append(scratch.stage(df)) or read[-1]
+    try:
+        am.operators(spark.createDataFrame(rows, C))
+    finally:
+        am.stage = before
+    assert [r.count() for r in read] == [2]
