@@ -60,9 +60,9 @@ def find_document(asks: DataFrame, docs: DataFrame) -> DataFrame:
     keys = docs.select("doc_key").distinct()
     exact = asks.join(keys.hint("merge"), F.col("number") == F.col("doc_key")).select("ask_id", "doc_key")
     rest = asks.filter(F.coalesce("number", F.lit("")) == "")
-    only = F.count_distinct("doc_key") == 1
-    alone = lambda pairs: pairs.groupBy("ask_id").agg(F.when(only, F.min("doc_key")).alias("doc_key")).filter("doc_key is not null")
-    dated = alone(rest.join(docs.select("doc_key", F.col("issued").alias("day")), F.col("issued") == F.col("day")).select("ask_id", "doc_key"))
+    # A date stands for the smallest and largest of its documents' keys: its questions don't meet its documents one by one.
+    days = docs.filter("doc_key is not null and issued is not null").groupBy(F.col("issued").alias("day")).agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"))
+    dated = rest.join(days, F.col("issued") == F.col("day")).groupBy("ask_id").agg(F.min("low").alias("doc_key"), F.max("high").alias("high")).filter("doc_key = high").select("ask_id", "doc_key")
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
     open_ = rest.join(dated, "ask_id", "left_anti").filter(plain("hint") != "")
     # Equal hints and equal titles meet once; a title stands for the smallest and largest of its documents' keys.

@@ -46,3 +46,19 @@ def test_questions_of_one_address_and_date_look_it_up_once(spark):
     assert {(x.node_id, x.how, x.path) for x in got.collect()} == {(None, "tied", "dieu:1")} and got.count() == 300
     joined = got._jdf.queryExecution().optimizedPlan().toString()
     assert joined.count("count(1) AS n") >= 1
+
+
+def _joined(node):
+    """The rows that each join of an executed plan gave."""
+    found = [node.metrics().get("numOutputRows").get().value()] if "Join" in node.nodeName() else []
+    return found + [n for k in range(node.children().size()) for n in _joined(node.children().apply(k))]
+
+
+def test_questions_of_a_date_do_not_meet_its_documents_one_by_one(spark):
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    docs = [(f"d{i:03}", day(i % 2), None) for i in range(200)] + [("only", day(5), None), ("only", day(5), None), (None, day(5), None), ("none", None, None)]
+    asks = [(i, None, day(i % 2), None) for i in range(200)] + [(300, None, day(5), None), (301, "", day(5), None), (302, None, None, None), (303, None, day(7), None)]
+    got = ad.find_document(spark.createDataFrame(asks, "ask_id int, number string, issued date, hint string"), spark.createDataFrame(docs, "doc_key string, issued date, title string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == 204 and {r for r in rows if r[1]} == {(300, "only"), (301, "only")}
+    assert max(_joined(got._jdf.queryExecution().executedPlan())) <= 204
